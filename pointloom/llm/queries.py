@@ -10,6 +10,17 @@ from .bpe import encode_decode
 from .common import table
 from .html_text import extract_text
 from .media import audio_columns
+from .packing import pack
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
