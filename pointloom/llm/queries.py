@@ -11,6 +11,7 @@ from .common import table
 from .html_text import extract_text
 from .media import audio_columns
 from .packing import pack
+from .substrings import remove_repeats
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
