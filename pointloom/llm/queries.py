@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .common import table
 from .html_text import extract_text
 from .jaccard import jaccard_components
+from .lines import LINE_REPORT_SQL, line_report
 from .media import audio_columns
 from .packing import pack
 from .secrets import secret_report
@@ -52,9 +53,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": LINE_REPORT_SQL.format(documents="documents", sites=10)}
