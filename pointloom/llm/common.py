@@ -15,7 +15,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = np.int64(2**63 - 1)
 
 _ODD = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -100,7 +100,7 @@ def split_words(text: bytes) -> list[bytes]:
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the word count of each text.
 
-    Whole texts, hashed in blocks of about 4 MB, so that the scratch space is bounded by
+    Whole texts, hashed in blocks of about 1 MB, so that the scratch space is bounded by
     the block or by the longest single text.
     """
     hashes, counts, block, size = [], [], [], 0

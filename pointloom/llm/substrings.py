@@ -145,7 +145,7 @@ def remove_repeats(
     text_col: str = "text",
     most: int | None = None,
     bucket_words: int = 400_000,
-    chunk: int = 2_000_000,
+    chunk: int = 600_000,
     with_text: bool = False,
 ) -> DataFrame:
     """Remove every word covered by a window of width words that also starts in a document of smaller id.
