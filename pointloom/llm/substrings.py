@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import pieces
@@ -50,43 +51,76 @@ def _suffixes(batches: Iterator[pa.RecordBatch], width: int, chunk: int) -> Iter
         yield flush()
 
 
+def _light_runs(codes: list[int], sizes: list[int], most: int, deeper: bool) -> list[tuple[int, int, bool]]:
+    """Neighbours joined as long as they hold at most most together: (first code, suffixes, whether to go deeper)."""
+    out: list[tuple[int, int, bool]] = []
+    for code, n in zip(codes, sizes):
+        if n > most and deeper:
+            out.append((code, n, True))
+        elif out and not out[-1][2] and out[-1][1] + n <= most:
+            out[-1] = (out[-1][0], out[-1][1] + n, False)
+        else:
+            out.append((code, n, False))
+    return out
+
+
+def _runs(most: int, deeper: bool):
+    def runs(table: pa.Table) -> pa.Table:
+        prefix = table.column("prefix")[0].as_py()
+        sizes = np.sum([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()], axis=0)
+        some = np.flatnonzero(sizes)
+        found = _light_runs(((prefix << BITS) + some).tolist(), sizes[some].tolist(), most, deeper)
+        return pa.table({"code": pa.array([x[0] for x in found], pa.int64()), "n": pa.array([x[1] for x in found], pa.int64()), "deeper": pa.array([x[2] for x in found], pa.bool_())})
+
+    return runs
+
+
 def prefix_groups(docs: DataFrame, width: int, most: int | None, chunk: int) -> tuple[np.ndarray, int]:
     """Bounds of the groups in the order of path codes, and the number of suffixes.
 
     All suffixes are counted by their first word; only the prefixes that hold more than
     most suffixes are counted again one word deeper, up to DEPTH words. Neighbouring
-    prefixes share a group as long as it stays within most. The driver gets the counts of
-    the children of such prefixes: 2**BITS for each, of which there are at most
-    suffixes / most on a level.
+    prefixes share a group as long as it stays within most. A task sends one vector of
+    counts for each prefix that it splits; vectors are added up in two steps, 512 tasks at
+    a time. The driver gets the runs of light children, of which there are about
+    2 * suffixes / most.
     """
     depth = min(DEPTH, width)
-    counted: list[tuple[int, int]] = []  # first code of the prefix, suffixes
+    ranges: list[tuple[int, int]] = []  # first code, suffixes
     total = 0
-    heavy: list[int] | None = None
+    heavy = [0]
     for level in range(1, depth + 1):
-        parents = None if heavy is None else np.array(sorted(heavy), np.int64)
+        parents = np.array(sorted(heavy), np.int64)
 
         def count(batches, level=level, parents=parents):
-            sums: dict[int, int] = {}
+            sums = np.zeros((len(parents), 1 << BITS), np.int64)
             for _, words, _, starts in _suffixes(batches, width, chunk):
                 code = path_codes(words, starts, level)
-                if parents is not None:
-                    code = code[np.isin(code >> BITS, parents)]
-                for c, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True))):
-                    sums[c] = sums.get(c, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["code", "n"])
-
-        rows = docs.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()
-        if level == 1:
-            total = sum(r["n"] for r in rows)
-            most = most or max(1 << 14, min(1 << 23, total // (4 * shuffle_width(docs.sparkSession))))
-        heavy = [r["code"] for r in rows if r["n"] > most and level < depth]
-        deeper = set(heavy)
-        counted += [(r["code"] << BITS * (depth - level), r["n"]) for r in rows if r["code"] not in deeper]
+                at = np.minimum(np.searchsorted(parents, code >> BITS), len(parents) - 1)
+                ours = parents[at] == code >> BITS
+                sums += np.bincount((at[ours] << BITS) + (code[ours] & (1 << BITS) - 1), minlength=sums.size).reshape(sums.shape)
+            used = np.flatnonzero(sums.any(axis=1))
+            task = TaskContext.get().partitionId() // 512
+            yield from _vectors(parents[used], np.full(len(used), task), sums[used]).to_batches()
+
+        def add_up(table: pa.Table) -> pa.Table:
+            vectors = [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()]
+            return _vectors(table.column("prefix").to_numpy()[:1], table.column("part").to_numpy()[:1], np.sum(vectors, axis=0)[None])
+
+        vectors = docs.mapInArrow(count, _VECTORS).groupBy("prefix", "part").applyInArrow(add_up, _VECTORS)
+        rows = vectors.groupBy("prefix").applyInArrow(_runs(most or 0, level < depth), "code bigint, n bigint, deeper boolean").collect()
+        found = sorted((r["code"], r["n"], r["deeper"]) for r in rows)
+        if level == 1 and not most:  # every child came back, as nothing is light yet
+            total = sum(n for _, n, _ in found)
+            most = max(1 << 14, min(1 << 23, total // (4 * shuffle_width(docs.sparkSession))))
+            found = _light_runs([c for c, _, _ in found], [n for _, n, _ in found], most, level < depth)
+        total = total or sum(n for _, n, _ in found)
+        ranges += [(code << BITS * (depth - level), n) for code, n, deeper in found if not deeper]
+        heavy = [code for code, _, deeper in found if deeper]
         if not heavy:
             break
     bounds, size = [0], 0
-    for code, n in sorted(counted):
+    for code, n in sorted(ranges):
         if size and size + n > most:
             bounds.append(code)
             size = 0
@@ -94,6 +128,13 @@ def prefix_groups(docs: DataFrame, width: int, most: int | None, chunk: int) ->
     return np.array(bounds, np.int64), total
 
 
+_VECTORS = "prefix bigint, part bigint, counts binary"
+
+
+def _vectors(prefixes: np.ndarray, parts: np.ndarray, sums: np.ndarray) -> pa.Table:
+    return pa.table({"prefix": pa.array(prefixes, pa.int64()), "part": pa.array(parts, pa.int64()), "counts": pa.array([x.astype(np.int64).tobytes() for x in sums], pa.binary())})
+
+
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((ids ^ (ids >> np.int64(9))) % buckets + buckets) % buckets
 
