@@ -12,9 +12,11 @@ from .html_text import extract_text
 from .jaccard import jaccard_components
 from .lines import LINE_REPORT_SQL, line_report
 from .media import audio_columns
+from .neighbors import near_duplicates
 from .packing import pack
 from .secrets import secret_report
 from .substrings import remove_repeats
+from .toxicity import fit, score_documents
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_columns(table(spark, sf_dir, "documents"))
 
@@ -57,8 +64,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
