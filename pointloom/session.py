@@ -16,4 +16,8 @@ def share_package(spark: SparkSession) -> SparkSession:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+        # workers give freed memory back instead of keeping their peak
+        spark.sparkContext.environment.update(MALLOC_TRIM_THRESHOLD_="1048576", MALLOC_MMAP_THRESHOLD_="1048576", ARROW_DEFAULT_MEMORY_POOL="system")
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may be long texts
     return spark
