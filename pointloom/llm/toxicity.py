@@ -22,10 +22,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SYMBOLS = 28
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A token with a letter and, inside or at one end, a sign that may stand for a letter.
-LEETED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+(€£¡#*]\S*")
-REPEATED = re.compile(r"\w*([^\W\d_])\1\1\w*")
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*,/~'][^\W_]){2,}(?![^\W_])")
+SIGN = re.compile(r"[0-9@$!|+(€£¡#*]")
+REPEATED = re.compile(r"([^\W\d_])\1\1")
+#: Single letters with a separator between them, in one token and over tokens.
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*,/~'][^\W_]){2,}(?![^\W_])")
+SPREAD = re.compile(r"(?<!\S)[^\W_](?:[ \t]+[^\W_]){2,}(?!\S)")
+SPREAD_HINT = re.compile(r" \S \S(?!\S)|^\S \S \S(?!\S)")
 JUNK_ENDS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 LOOK = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "​": "", "‌": "", "‍": "", "⁠": "", "­": "", "﻿": ""})
 
@@ -132,13 +134,23 @@ def plain(text: str) -> str:
     return text.lower().translate(LOOK)
 
 
-def disguised(text: str) -> set[str]:
-    """Tokens of a plain text that may be disguised words, without runs of a sign at their ends."""
-    found = {JUNK_ENDS.sub("", m.group()).strip(".,;:?\"'()[]{}") for m in LEETED.finditer(text)}
-    found |= {m.group() for m in REPEATED.finditer(text)}
-    spaced = {re.sub(r"[ .\-_*,/~']", "", m.group()) for m in SPACED.finditer(text)}
-    spaced |= {t[k:] for t in spaced for k in (1, 2)}  # a single letter before the word may be one of its own
-    return {t for t in found if 3 <= len(t) <= 32 and not t.isalpha() and sum(c.isalpha() for c in t) >= 2} | {t for t in found | spaced if 3 <= len(t) <= 32 and t.isalnum()}
+def disguised(token: str) -> set[str]:
+    """What of a plain token may be a disguised word: without runs of a sign at its ends, or without separators."""
+    core = JUNK_ENDS.sub("", token).strip(".,;:?\"'()[]{}")
+    found = set()
+    if 3 <= len(core) <= 32:
+        if SIGN.search(core) and sum(c.isalpha() for c in core) >= 2:
+            found.add(core)
+        if REPEATED.search(core):
+            found.add(core)
+        found |= spaced_out(m.group() for m in SPACED.finditer(core))
+    return found
+
+
+def spaced_out(runs) -> set[str]:
+    """Runs of single letters without separators; one or two letters before the word may be words of their own."""
+    joined = {re.sub(r"[\W_]", "", run) for run in runs}
+    return {t[k:] for t in joined for k in (0, 1, 2) if 3 <= len(t) - k and len(t) <= 32}
 
 
 def word_features(word: str) -> list[str]:
@@ -176,37 +188,56 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, turns: int =
 
 
 class Scorer:
-    def __init__(self, model: Model):
+    """Scores texts by the distinct tokens in them; what a token gives is remembered, for keep tokens at most."""
+
+    def __init__(self, model: Model, keep: int = 200_000):
         self.model = model
         self.restorer = Restorer(model.trigrams)
-        self.words: dict[str, float] = {}
-        self.tokens: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.keep = keep
+
+    def token_words(self, token: str) -> set[str]:
+        """Words of a lower-cased token and of its restored readings."""
+        bare = token.rstrip(".,;:?")
+        if bare.isascii() and bare.isalpha() and not REPEATED.search(bare):
+            return {bare}
+        token = plain(token)
+        words = set(WORD.findall(token))
+        for part in disguised(token):
+            words.update(self.restorer.restore(part))
+        return words
+
+    @staticmethod
+    def tokens(text: str) -> set[str]:
+        text = text.lower()
+        found = set(text.split())
+        if SPREAD_HINT.search(text):
+            found |= spaced_out(m.group() for m in SPREAD.finditer(text))
+        return found
 
     def all_words(self, text: str) -> set[str]:
-        """Distinct words of the text, and of the restored readings of its disguised tokens."""
-        text = plain(text)
-        words = set(WORD.findall(text))
-        for token in disguised(text):
-            got = self.tokens.get(token)
-            if got is None:
-                got = tuple(self.restorer.restore(token))
-                if len(self.tokens) < 200_000:
-                    self.tokens[token] = got
-            words.update(got)
-        return words
+        return set().union(*map(self.token_words, self.tokens(text)))
 
     def weight(self, word: str) -> float:
-        got = self.words.get(word)
-        if got is None:
-            got = max((self.model.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
-            if len(self.words) < 500_000:
-                self.words[word] = got
-        return got
+        return max((self.model.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
+
+    def weights(self, text: str) -> list[float]:
+        """Weights of the distinct words that have one."""
+        if len(self.known) > self.keep:
+            self.known.clear()
+        known, found = self.known, {}
+        for token in self.tokens(text):
+            got = known.get(token)
+            if got is None:
+                got = known[token] = tuple((w, x) for w in self.token_words(token) if (x := self.weight(w)) > 0)
+            if got:
+                found.update(got)
+        return list(found.values())
 
     def score(self, text: str) -> float:
         if not self.model.fitted:
             return 0.0
-        z = float(np.dot(self.model.slope, summary([self.weight(w) for w in self.all_words(text)])))
+        z = float(np.dot(self.model.slope, summary(self.weights(text))))
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
