@@ -59,7 +59,7 @@ class Lines(HTMLParser):
         self.lines: list[dict] = []
         self.open: list[tuple[str, bool, bool]] = []  # name, skipped, article
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.skips = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -69,7 +69,6 @@ class Lines(HTMLParser):
                     "text": text,
                     "tags": self.tags,
                     "linked": min(self.linked, len(text)),
-                    "skipped": any(x[1] for x in self.open),
                     "article": any(x[2] for x in self.open),
                     "heading": any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self.open),
                 }
@@ -78,8 +77,9 @@ class Lines(HTMLParser):
         self.parts, self.linked = [], 0
 
     def pop_to(self, k: int) -> None:
-        for name, _, _ in self.open[k:]:
+        for name, skipped, _ in self.open[k:]:
             self.links -= name == "a"
+            self.skips -= skipped
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -91,7 +91,9 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         inside = any(x[2] for x in self.open)
-        self.open.append((tag, self.marked(tag, dict(attrs), inside), tag in ("article", "main")))
+        skipped = self.marked(tag, dict(attrs), inside)
+        self.open.append((tag, skipped, tag in ("article", "main")))
+        self.skips += skipped
         self.links += tag == "a"
 
     def close_implied(self, tag: str) -> None:
@@ -137,6 +139,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.skips:
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
@@ -167,7 +171,7 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x["skipped"]]
+    lines = parser.lines
     if not lines:
         return ""
     if any(x["article"] for x in lines):
