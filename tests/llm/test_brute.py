@@ -147,6 +147,15 @@ def components_of(sets, linked):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard(spark, seed):
+    check_jaccard(spark, seed, chunk=500)
+
+
+@pytest.mark.parametrize("limits", [{"region_sets": 10, "pivots": 4}, {"region_sets": 15, "pivots": 32}, {"region_shingles": 400, "pivots": 2}])
+def test_jaccard_in_regions(spark, limits):
+    check_jaccard(spark, 7, **limits)
+
+
+def check_jaccard(spark, seed, **settings):
     rng = random.Random(seed)
     docs = random_docs(rng, 80, 60)
     base = " ".join(f"z{i}" for i in range(80)).split()
@@ -158,7 +167,7 @@ def test_jaccard(spark, seed):
     docs = list(enumerate(docs))
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, chunk=500).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, **settings).collect()}
     sets = {}
     for i, t in docs:
         w = t.lower().split()
