@@ -265,9 +265,11 @@ def fit(
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Scorer(model)
         for batch in batches:
-            found = [restorer.all_words(t.decode()) for t in as_bytes(batch.column(0))]
-            features = [sorted({f for w in words for f in word_features(w)}) for words in found]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.list_(pa.string()))], ["y", "features"])
+            raw = as_bytes(batch.column(0))
+            for part in pieces(raw, 250_000):  # features take many times the space of their texts
+                features = [sorted({f for w in restorer.all_words(t.decode()) for f in word_features(w)}) for t in raw[part]]
+                y = batch.column(1).slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([y, pa.array(features, pa.list_(pa.string()))], ["y", "features"])
 
     features = stored(rows.select("text_", "y_").mapInArrow(words_of, "y int, features array<string>"), "features")
     totals = {r["y"]: r["n"] for r in features.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -286,7 +288,7 @@ def fit(
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for y, fs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, fs in ((y.as_py(), fs.as_py()) for y, fs in zip(batch.column(0), batch.column(1))):
                 left_out = []
                 for f in fs:
                     if f in weights:
