@@ -15,6 +15,7 @@ from .media import audio_columns
 from .neighbors import near_duplicates
 from .packing import pack
 from .secrets import secret_report
+from .secrets_sql import secret_report_sql
 from .substrings import remove_repeats
 from .toxicity import fit, score_documents
 
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_REPORT_SQL.format(documents="documents", sites=10)}
+    return {"op1_secret_scans": secret_report_sql("documents"), "op9_line_dedup": LINE_REPORT_SQL.format(documents="documents", sites=10)}

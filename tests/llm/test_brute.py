@@ -20,6 +20,7 @@ from pointloom.llm.media import AudioFeatures, load_wav, pad_payload, store_wav
 from pointloom.llm.neighbors import near_duplicates
 from pointloom.llm.packing import column_generation, make_plan
 from pointloom.llm.secrets import ALLOWED, KINDS, redact, secret_report
+from pointloom.llm.secrets_sql import secret_report_sql
 from pointloom.llm.substrings import remove_repeats
 from pointloom.llm.toxicity import Restorer, disguised, plain, trigram_counts
 
@@ -236,6 +237,13 @@ def test_secrets(spark):
         assert r["spans"] == write(every)
         assert r["base_sha256"] == hashlib.sha256(write(base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [*range(len(texts)), None], "text": [*texts, None]}))
+    report = secret_report(df.unionByName(spark.createDataFrame([(None, None)], df.schema)))
+    cur = con.execute(secret_report_sql("documents"))
+    assert [d[0] for d in cur.description] == report.columns
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r)) for r in report.collect())
     for r in redact(df).collect():
         t, at, want = texts[r["doc_id"]], 0, ""
         for a, _, b in secrets_of(t)[1]:
