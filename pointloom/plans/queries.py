@@ -244,11 +244,13 @@ def encoded(spark, sf_dir):
     return supplier.select("s_suppkey", coerce.encode_component(F.concat(F.lit("k "), F.col("s_suppkey").cast("string"), F.lit("~(x)!"))).alias("code"), coerce.round_half_up(F.col("s_acctbal")).alias("rounded"))
 
 
-@query("SELECT s_suppkey AS id, s_name || '-new' AS name FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 NOT IN (0, 3)")
+@query("SELECT s_suppkey AS id, s_name || '-new' AS name FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal BETWEEN 0 AND 9000")
 def draw_edits(spark, sf_dir):
-    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    edited = state.upsert(base, base.filter("id % 10 = 0").withColumn("name", F.concat("name", F.lit("-new"))))
-    return state.delete(edited, base.filter("id % 10 = 3"))
+    supplier = table(spark, sf_dir, "supplier")
+    named = lambda rows, name: rows.select(F.col("s_suppkey").alias("id"), name.alias("name"))
+    edits = named(supplier.filter("s_acctbal < 0"), F.concat("s_name", F.lit("-new")))
+    edited = state.upsert(named(supplier, F.col("s_name")), edits)
+    return state.delete(edited, named(supplier.filter("s_acctbal > 9000"), F.col("s_name")))
 
 
 @query("SELECT s_suppkey AS id, s_nationkey AS key, 'suppliers' AS layer FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 'customers' FROM customer")
@@ -258,10 +260,12 @@ def layers(spark, sf_dir):
     return visible_rows([Layer("suppliers", suppliers), Layer("customers", customers), Layer("hidden", suppliers, visible=False)])
 
 
-@query(f"WITH g AS (SELECT c_custkey, {LAT_SQL} AS lat, {LON_SQL} AS lon, c_name FROM customer WHERE c_custkey % 100 = 1), p AS (SELECT c_custkey, {LAT_SQL} AS lat, {LON_SQL} AS lon FROM customer), d AS (SELECT p.c_custkey, g.c_name, round(2 * 6371000.0::double * asin(least(1.0, sqrt(pow(sin(radians(g.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lon - p.lon) / 2), 2)))), 3) AS m FROM p, g) SELECT p.c_custkey, coalesce(arg_min(d.c_name, row(m, d.c_name)) FILTER (m <= 400), 'No results found') AS address FROM p LEFT JOIN d USING (c_custkey) GROUP BY p.c_custkey")
+@query(f"WITH g AS (SELECT n_name, 41.6::double + (n_nationkey % 5)::double * 0.0137 AS lat, -87.9::double + floor(n_nationkey / 5.0::double) * 0.0113 AS lon FROM nation), p AS (SELECT c_custkey, {LAT_SQL} AS lat, {LON_SQL} AS lon FROM customer), d AS (SELECT p.c_custkey, g.n_name, round(2 * 6371000.0::double * asin(least(1.0, sqrt(pow(sin(radians(g.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lon - p.lon) / 2), 2)))), 3) AS m FROM p, g) SELECT p.c_custkey, coalesce(arg_min(d.n_name, row(m, d.n_name)) FILTER (m <= 400), 'No results found') AS address FROM p LEFT JOIN d USING (c_custkey) GROUP BY p.c_custkey")
 def reverse_geocode(spark, sf_dir):
     points = places(spark, sf_dir).select("c_custkey", "lat", "lon")
-    entries = places(spark, sf_dir).filter("c_custkey % 100 = 1").select(F.col("c_name").alias("formatted_address"), "lat", "lon")
+    lat = F.lit(41.6) + (F.col("n_nationkey") % 5).cast("double") * F.lit(0.0137)
+    lon = F.lit(-87.9) + F.floor(F.col("n_nationkey") / F.lit(5.0)) * F.lit(0.0113)
+    entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("formatted_address"), lat.alias("lat"), lon.alias("lon"))
     return spatial.nearest_place(points, entries, "c_custkey", reach_m=400.0, cell=0.02).select("c_custkey", "address")
 
 
