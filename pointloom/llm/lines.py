@@ -33,29 +33,52 @@ def site_spread(lines: DataFrame, sites: int, lg_k: int = 12, margin: float = 0.
     return sure.unionByName(exact)
 
 
+def whole_copies(rows: DataFrame, sites: int) -> DataFrame:
+    """One row (column row) of each text that sites distinct sites or more show as a whole: that of least id.
+
+    rows has row, id, whole (a digest of the text) and site. Rows without id count as sites
+    do, and are taken only where no row has an id.
+    """
+    first = [F.min_by("first", "id").alias("first"), F.min("any").alias("any"), F.min("id").alias("id")]
+    each = rows.filter("whole is not null").withColumn("first", F.col("row")).withColumn("any", F.col("row")).groupBy("whole", "site").agg(*first)
+    return each.groupBy("whole").agg(*first, F.count("site").alias("n")).filter(F.col("n") >= sites).select(F.coalesce("first", "any").alias("row"))
+
+
 def remove_boilerplate(
-    docs: DataFrame, sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", out: tuple[str, str] = ("n_lines", "n_removed")
+    docs: DataFrame,
+    sites: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    out: tuple[str, str] = ("n_lines", "n_removed"),
+    spare_majority: bool = False,
 ) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and the two counts named by out.
 
     A line (between line feeds; spaces, tabs and returns at its ends don't count) is
-    boilerplate if at least sites distinct sites show it. Every occurrence goes, but a
-    document of which boilerplate makes up more than half of the characters is a copy
-    rather than a page with boilerplate: it stays as it is, for the stages that deal with
-    whole documents. Blank lines stay. A null site is no site. Null and empty texts stay
-    as they are and have 0 lines and 1 line; rows with null ids and repeated rows are
-    treated like others.
+    boilerplate if at least sites distinct sites show it. Every occurrence goes, whatever
+    its share of the document, which may be left empty. Only of a text that as a whole is
+    on that many sites does one copy, that of least id, stay as it is. With spare_majority,
+    the rule of LINE_SQL, documents of which boilerplate makes up more than half of the
+    characters stay as they are instead. Blank lines stay. A null site is no site. Null and
+    empty texts stay as they are and have 0 lines and 1 line; rows with null ids and
+    repeated rows are treated like others.
     """
     id_, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     row = F.xxhash64(F.coalesce(id_, F.lit("\0")), text)
     exploded = docs.select(row.alias("row"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(F.transform(_lines(text), _key)).alias("at", "key")).filter("key is not null")
     keys = stored(site_spread(exploded.select("key", "site"), sites), "boilerplate")
     marked = exploded.join(keys, "key").groupBy("row").agg(F.collect_set("at").alias("gone__"))
+    if not spare_majority:
+        wholes = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("whole"), F.col(f"`{site_col}`").cast("string").alias("site"))
+        marked = marked.join(whole_copies(wholes, sites), "row", "left_anti")
     joined = docs.withColumn("row__", row).join(marked.withColumnRenamed("row", "row__"), "row__", "left").drop("row__")
     lines = _lines(text)
     size = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone__", i))
-    worth = F.col("gone__").isNotNull() & (2 * size(kept) >= size(lines))
+    worth = F.col("gone__").isNotNull()
+    if spare_majority:
+        worth = worth & (2 * size(kept) >= size(lines))
     return (
         joined.withColumn(out[0], F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn(out[1], F.when(worth, F.size("gone__")).otherwise(0).cast("long"))
@@ -65,9 +88,12 @@ def remove_boilerplate(
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10) -> DataFrame:
-    """A row per input row: id, n_lines, n_removed, n_chars_kept, kept_sha256 (null text: the digest of nothing)."""
+    """A row per input row: id, n_lines, n_removed, n_chars_kept, kept_sha256 (null text: the digest of nothing).
+
+    By the rule of LINE_REPORT_SQL, which spares documents that are mostly boilerplate.
+    """
     wanted = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{site_col}`").alias("site"))
-    done = remove_boilerplate(wanted, sites, "id", "body", "site")
+    done = remove_boilerplate(wanted, sites, "id", "body", "site", spare_majority=True)
     body = F.coalesce("body", F.lit(""))
     return done.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.length(body).cast("long").alias("n_chars_kept"), F.sha2(body, 256).alias("kept_sha256"))
 
