@@ -27,8 +27,11 @@ REPEATED = re.compile(r"([^\W\d_])\1\1")
 #: Single letters with a separator between them, in one token and over tokens.
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*,/~'][^\W_]){2,}(?![^\W_])")
 SPREAD = re.compile(r"(?<!\S)[^\W_](?:[ \t]+[^\W_]){2,}(?!\S)")
-SPREAD_HINT = re.compile(r" \S \S(?!\S)|^\S \S \S(?!\S)")
 JUNK_ENDS = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
+#: What parts the words of a token: neither letters nor signs of LEET.
+PARTING = re.compile(r"[^\w@$!|+(€£¡#*]+|_+")
+#: A word without runs, with a run of one sign before or after it.
+EDGED = re.compile(r"(([0-9@$!|+(€£¡#*])\2*)?[.,;:]*((?:([^\W\d_])(?!\4\4))+)[.,;:]*(([0-9@$!|+(€£¡#*])\6*)?")
 LOOK = str.maketrans({"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "​": "", "‌": "", "‍": "", "⁠": "", "­": "", "﻿": ""})
 
 
@@ -77,9 +80,11 @@ def count_characters(docs: DataFrame, text_col: str) -> np.ndarray:
 class Restorer:
     """Viterbi decoding of a token's lattice under a trigram model of characters.
 
-    The channel: a sign stands for a letter of LEET or for nothing; a separator in a
-    spaced word stands for nothing; a run of three or more of a letter stands for one or
-    two of it. States are the last two symbols; the best few paths of each are kept.
+    The channel: a sign stands for a letter of LEET or for nothing, a run of it for one or
+    two of the letter; a separator in a spaced word stands for nothing; a run of three or
+    more of a letter stands for one or two of it. States are the last two symbols; the best
+    few paths of each are kept. A run is one step; tokens of more than longest steps are
+    decoded in windows that overlap by half.
     """
 
     def __init__(self, counts: np.ndarray, best: int = 5, longest: int = 32):
@@ -101,18 +106,26 @@ class Restorer:
             if ch.isalpha():
                 out.append([(ch, 0.5), (ch * 2, 0.5)] if run >= 3 else [(ch * run, 0.0), (ch, 2.0)] if run == 2 else [(ch, 0.0)])
             else:
-                options = [(x, 1.0) for x in LEET.get(ch, "")]
+                options = [(x * n, 1.0) for x in LEET.get(ch, "") for n in range(1, 1 + min(run, 2))]
                 inner = 0 < i and j < len(token)
                 out.append(options + [("", (9.0 if inner else 5.0) if options else 0.5)])
             i = j
         return out
 
     def restore(self, token: str) -> list[str]:
-        """The best readings of a token, letters only."""
-        if len(token) > self.longest:
-            return []
+        """The best readings of a token, letters only; of a word with signs at its ends, all readings of the ends."""
+        if edged := EDGED.fullmatch(token):
+            before, after = ([x * n for x in LEET[run[0]] for n in range(1, 1 + min(len(run), 2))] + [""] if run else [""] for run in edged.group(1, 5))
+            return [x + edged.group(3) + y for x in before for y in after]
+        steps, half = self.lattice(token), self.longest // 2
+        if len(steps) <= self.longest:
+            return self.decode(steps)
+        windows = (steps[k : k + self.longest] for k in range(0, len(steps) - half, half))
+        return [text for w in windows if any(len(options) > 1 for options in w) for text in self.decode(w)]
+
+    def decode(self, steps: list[list[tuple[str, float]]]) -> list[str]:
         paths: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        for options in self.lattice(token):
+        for options in steps:
             after: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), ways in paths.items():
                 for letters, channel in options:
@@ -124,7 +137,7 @@ class Restorer:
                     after.setdefault((x, y), []).extend((c + cost, text + letters) for c, text in ways)
             paths = {state: sorted(ways)[: self.best] for state, ways in after.items()}
         ends = sorted((c + self.cost[a, b, 0], text) for (a, b), ways in paths.items() for c, text in ways)
-        return [text for _, text in ends[: self.best]]
+        return [text for _, text in ends[: self.best] if text]
 
 
 def plain(text: str) -> str:
@@ -135,22 +148,18 @@ def plain(text: str) -> str:
 
 
 def disguised(token: str) -> set[str]:
-    """What of a plain token may be a disguised word: without runs of a sign at its ends, or without separators."""
-    core = JUNK_ENDS.sub("", token).strip(".,;:?\"'()[]{}")
+    """What of a plain token may be a disguised word: with and without runs of a sign at its ends, its parts, or without separators."""
     found = set()
-    if 3 <= len(core) <= 32:
-        if SIGN.search(core) and sum(c.isalpha() for c in core) >= 2:
-            found.add(core)
-        if REPEATED.search(core):
-            found.add(core)
-        found |= spaced_out(m.group() for m in SPACED.finditer(core))
+    for whole in {JUNK_ENDS.sub("", token).strip(".,;:?\"'()[]{}"), token.strip(".,;:?\"')[]{}")}:
+        found.update(x for x in (whole, *PARTING.split(whole)) if len(x) >= 3 and (SIGN.search(x) or REPEATED.search(x)))
+        found |= spaced_out(m.group() for m in SPACED.finditer(whole))
     return found
 
 
 def spaced_out(runs) -> set[str]:
     """Runs of single letters without separators; one or two letters before the word may be words of their own."""
     joined = {re.sub(r"[\W_]", "", run) for run in runs}
-    return {t[k:] for t in joined for k in (0, 1, 2) if 3 <= len(t) - k and len(t) <= 32}
+    return {t[k:] for t in joined for k in (0, 1, 2) if 3 <= len(t) - k}
 
 
 def word_features(word: str) -> list[str]:
@@ -210,10 +219,7 @@ class Scorer:
     @staticmethod
     def tokens(text: str) -> set[str]:
         text = text.lower()
-        found = set(text.split())
-        if SPREAD_HINT.search(text):
-            found |= spaced_out(m.group() for m in SPREAD.finditer(text))
-        return found
+        return set(text.split()) | spaced_out(m.group() for m in SPREAD.finditer(text))
 
     def all_words(self, text: str) -> set[str]:
         return set().union(*map(self.token_words, self.tokens(text)))

@@ -3,6 +3,7 @@
 import pytest
 
 from pointloom.llm.lines import remove_boilerplate
+from pointloom.llm.toxicity import Model, Scorer, trigram_counts
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -18,3 +19,30 @@ def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark):
     want += [(30 + i, "", 2) for i in range(1, 12)] + [(60 + i, "two sites", 0) for i in range(12)]
     key = lambda x: (x[0] is None, x)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("st" + "u" * 40 + "pid", "stupid"),
+        ("and/that/is/a/token/without/any/space/i.d.i.o.t/in/it", "idiot"),
+        ("https://an.example/of/a/long/unbroken/address/1d10t", "idiot"),
+        ("you i\td\ti\to\tt you", "idiot"),
+        ("you  i  d  i  o  t  you", "idiot"),
+        ("b!7(#", "bitch"),
+        ("a$$", "ass"),
+        ("jacka$$", "jackass"),
+        ("jacka$$!!", "jackass"),
+        ("(razy", "crazy"),
+        ("word$$$", "word"),
+    ],
+)
+def test_disguised_words_are_decoded(text, want):
+    words = b"you are an idiot and stupid that is a bitch with an ass a jackass or a crazy word " * 50
+    assert want in Scorer(Model(trigrams=trigram_counts([words]))).all_words(text)
+
+
+def test_long_tokens_are_decoded_in_windows():
+    restorer = Scorer(Model(trigrams=trigram_counts([b"idiot and stupid " * 50]))).restorer
+    token = "abcdefghijklmnop" * 5 + "1d10t"
+    assert any("idiot" in x for x in restorer.restore(token))
