@@ -57,7 +57,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[dict] = []
-        self.open: list[tuple[str, bool, bool]] = []  # name, skipped, article
+        self.open: list[tuple[str, bool, int]] = []  # name, skipped, number of the article or 0
+        self.articles = 0
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.skips = 0
 
@@ -69,7 +70,7 @@ class Lines(HTMLParser):
                     "text": text,
                     "tags": self.tags,
                     "linked": min(self.linked, len(text)),
-                    "article": any(x[2] for x in self.open),
+                    "articles": [x[2] for x in self.open if x[2]],
                     "heading": any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in self.open),
                 }
             )
@@ -92,7 +93,8 @@ class Lines(HTMLParser):
             return
         inside = any(x[2] for x in self.open)
         skipped = self.marked(tag, dict(attrs), inside)
-        self.open.append((tag, skipped, tag in ("article", "main")))
+        self.articles += tag in ("article", "main")
+        self.open.append((tag, skipped, self.articles if tag in ("article", "main") else 0))
         self.skips += skipped
         self.links += tag == "a"
 
@@ -163,10 +165,14 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     """The article's blocks, one line each.
 
     Every line gets its text-to-tag ratio (characters outside links a tag), the ratios are
-    smoothed, and the threshold is their standard deviation as long as an article element
-    does not name the region. Lines inside <article> or <main> are content, lines in
-    elements that mark menus, adverts, comments and the like never are; only pages without
-    such an element are left to the threshold, where headings go with what follows them.
+    smoothed, and the threshold is their standard deviation, or half of their maximum if that
+    is less. Lines in elements that mark menus, adverts, comments and the like are left out
+    before. <article> and <main> are evidence. If at least half of the text over the threshold
+    lies in them, each that holds such text is content whole, those without it are not, and a
+    line outside must reach the median of the lines over the threshold inside. Otherwise, as
+    where articles are mere teasers, every line meets the same threshold, and short lines
+    between content lines are kept. Lists of links are never content; headings go with what
+    follows them.
     """
     parser = Lines()
     parser.feed(html)
@@ -174,17 +180,25 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    if any(x["article"] for x in lines):
-        return "\n".join(x["text"] for x in lines if x["article"])
     ratio = np.array([(len(x["text"]) - x["linked"]) / max(1, x["tags"]) for x in lines], float)
     smoothed = smooth(ratio, sigma)
-    keep = smoothed >= min(float(smoothed.std()), 0.5 * float(smoothed.max()))
+    limit = min(float(smoothed.std()), 0.5 * float(smoothed.max()))
     linked = np.array([x["linked"] > 0.5 * len(x["text"]) for x in lines])
-    keep &= ~linked
-    inside = np.flatnonzero(keep)
-    if not len(inside):
-        return ""
-    keep[inside[0] : inside[-1] + 1] |= ~linked[inside[0] : inside[-1] + 1]  # short blocks between content lines
+    own = np.array([len(x["text"]) - x["linked"] for x in lines])
+    inside = np.array([bool(x["articles"]) for x in lines])
+    dense = (smoothed >= limit) & ~linked
+    if (inside & dense).any() and 2 * own[inside & dense].sum() >= own[dense].sum():
+        full = {k for x, d in zip(lines, dense) if d for k in x["articles"]}
+        whole = np.array([not full.isdisjoint(x["articles"][-1:]) for x in lines])
+        limit = max(limit, float(np.median(smoothed[inside & dense])))
+        beside = np.concatenate(([False], linked, [False]))
+        listed = linked & (beside[:-2] | beside[2:])  # a linked line by itself is no list
+        keep = (whole & ~listed) | (~inside & dense & (np.minimum(ratio, smoothed) >= limit))
+    else:
+        keep = dense
+        found = np.flatnonzero(keep)
+        if len(found):
+            keep[found[0] : found[-1] + 1] |= ~linked[found[0] : found[-1] + 1]  # short blocks between content lines
     for i in range(len(lines) - 2, -1, -1):
         if lines[i]["heading"] and keep[i + 1]:
             keep[i] = True

@@ -2,6 +2,7 @@
 
 import pytest
 
+from pointloom.llm.html_text import main_text
 from pointloom.llm.lines import remove_boilerplate
 from pointloom.llm.toxicity import Model, Scorer, trigram_counts
 
@@ -46,3 +47,26 @@ def test_long_tokens_are_decoded_in_windows():
     restorer = Scorer(Model(trigrams=trigram_counts([b"idiot and stupid " * 50]))).restorer
     token = "abcdefghijklmnop" * 5 + "1d10t"
     assert any("idiot" in x for x in restorer.restore(token))
+
+
+BODY = [f"Paragraph {i} of the body tells at some length what happened on day {i} of the journey, and why it did." for i in range(6)]
+TEASERS = "".join(f'<article><h3><a href="/{i}">Other story {i}</a></h3><p>Read on.</p></article>' for i in range(4))
+LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(5)) + "</ul>"
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<div>{LINKS}</div><div><h1>Title</h1>{paragraphs(BODY)}</div><div>{LINKS}</div>", ["Title", *BODY]),
+        (f"<div><h1>Title</h1>{paragraphs(BODY)}</div><div>{TEASERS}</div>", ["Title", *BODY]),
+        (f"<main><h1>Title</h1><p>By A.</p><article>{paragraphs(BODY)}{LINKS}</article>{TEASERS}</main>", ["Title", "By A.", *BODY]),
+        (f"<article><h1>Title</h1><p>By A.</p>{paragraphs(BODY)}<p>The end.</p></article><div>{LINKS}<p>Fine print.</p></div>", ["Title", "By A.", *BODY, "The end."]),
+    ],
+    ids=["no article", "articles are teasers", "teasers within main", "article"],
+)
+def test_ratio_decides_with_and_without_article(html, want):
+    assert main_text(f"<html><body>{html}</body></html>").split("\n") == want
