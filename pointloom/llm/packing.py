@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import pieces, read_ranks
+from .bpe import codec, pieces, read_ranks
 from .common import as_bytes, stored
 
 #: The remainder length under which a task's count of whole pieces is filed.
@@ -207,17 +208,30 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
-    """ids as tokenizers gives them for the same vocabulary, from the faster library (tests compare the two)."""
+    """ids as tokenizers gives them for the same vocabulary, from the faster library (tests compare the two).
+
+    Texts on which that library fails (its regex overflows on runs of about a million spaces) go to the codec of bpe.
+    """
     import tiktoken
 
     key = f"{ranks_path}\0{pattern}\0{special}"
     if key not in _encoders:
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=special)
 
+        def encode_slowly(text: str) -> list[int]:
+            parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+            own = codec(ranks_path, pattern)
+            return [i for x in parts for i in ([special[x]] if x in special else np.frombuffer(own.encode_all([x])[0], "<u4").tolist())]
+
         def encode(text: str) -> list[int]:
-            if any(word in text for word in special):
-                return encoding.encode(text, allowed_special="all")
-            return encoding.encode_ordinary(text)
+            try:
+                if any(word in text for word in special):
+                    return encoding.encode(text, allowed_special="all")
+                return encoding.encode_ordinary(text)
+            except BaseException as error:  # a panic is no Exception
+                if not isinstance(error, Exception) and type(error).__name__ != "PanicException":
+                    raise
+                return encode_slowly(text)
 
         _encoders[key] = encode
     return _encoders[key]

@@ -1,7 +1,11 @@
 """Cases that earlier versions of the operators left out."""
 
+import zlib
+
+import numpy as np
 import pytest
 
+from pointloom.llm import queries as q
 from pointloom.llm.html_text import main_text
 from pointloom.llm.lines import remove_boilerplate
 from pointloom.llm.toxicity import Model, Scorer, trigram_counts
@@ -70,3 +74,18 @@ def paragraphs(lines):
 )
 def test_ratio_decides_with_and_without_article(html, want):
     assert main_text(f"<html><body>{html}</body></html>").split("\n") == want
+
+
+def test_packing_of_a_million_spaces(spark):
+    from tokenizers import Tokenizer
+
+    docs = {1: "a" + " " * 1_200_000 + "b c", 2: "x <|endoftext|>y" + " " * 1_100_000 + "<|endoftext|>", 3: "short"}
+    rows = q.pack_documents(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    encode = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for i, text in docs.items():
+        ids, at = np.array(encode.encode(text, add_special_tokens=False).ids + [0], "<u4"), 0
+        for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : at].tobytes())
+        assert at == len(ids)
