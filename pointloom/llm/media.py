@@ -11,7 +11,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .bpe import pieces
 from .common import as_bytes
@@ -54,18 +54,27 @@ class Polyphase:
         padded[: len(taps)] = taps
         self.phases = padded.reshape(self.width, self.up).T[:, ::-1].copy().astype(np.float32)  # one row a phase
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        count = -(-len(x) * self.up // self.down)
-        at = np.arange(count) * self.down + self.centre
+    def count(self, n: int) -> int:
+        """Output samples for n input samples."""
+        return -(-n * self.up // self.down)
+
+    def __call__(self, x: np.ndarray, first: int = 0, end: int | None = None) -> np.ndarray:
+        """Output samples first to end of the whole input x (8-bit, 128 is silence); only what they need of x is read."""
+        end = self.count(len(x)) if end is None else end
+        at = np.arange(first, end) * self.down + self.centre
         newest, phase = at // self.up, at % self.up
-        lead = self.width
-        source = np.zeros(len(x) + 2 * lead + self.centre // self.up + 2, np.float32)
-        source[lead : lead + len(x)] = x
+        if not len(at):
+            return np.zeros(0, np.float32)
+        base, stop = int(newest[0]) - self.width + 1, int(newest[-1]) + 1
+        lo, hi = min(max(base, 0), len(x)), min(stop, len(x))
+        source = np.zeros(stop - base, np.float32)
+        source[lo - base : lo - base + max(hi - lo, 0)] = (x[lo:hi].astype(np.float32) - 128) / 128
         views = np.lib.stride_tricks.sliding_window_view(source, self.width)
-        out = np.empty(count, np.float32)
+        oldest = newest - self.width + 1 - base
+        out = np.empty(len(at), np.float32)
         for p in np.unique(phase):
             rows = phase == p
-            out[rows] = views[newest[rows] + lead - self.width + 1] @ self.phases[p]
+            out[rows] = views[oldest[rows]] @ self.phases[p]
         return out
 
 
@@ -99,7 +108,8 @@ class AudioFeatures:
 
     def log_mel(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Frames x mels in dB, and the energy of each frame in dB. Blocks bound the scratch space."""
-        wave_ = np.concatenate([self._block(samples, i) for i in range(0, len(samples), BLOCK)])
+        total = self.resample.count(len(samples))
+        wave_ = np.concatenate([self.resample(samples, i, min(i + BLOCK, total)) for i in range(0, total, BLOCK)])
         short = max(0, self.frame - len(wave_))
         if short:
             wave_ = np.pad(wave_, (0, short))
@@ -112,14 +122,6 @@ class AudioFeatures:
             energy.append(10 * np.log10(power.mean(axis=1) + 1e-6))
         return np.concatenate(mel).astype(np.float32), np.concatenate(energy).astype(np.float32)
 
-    def _block(self, samples: np.ndarray, i: int) -> np.ndarray:
-        """Resampled samples[i:i+BLOCK], with enough context on both sides for the filter."""
-        margin = 2 * self.resample.width * self.resample.down
-        lo = max(0, i - margin)
-        got = self.resample((samples[lo : i + BLOCK + margin].astype(np.float32) - 128) / 128)
-        skip = (i - lo) * self.resample.up // self.resample.down
-        return got[skip : skip + -(-min(BLOCK, len(samples) - i) * self.resample.up // self.resample.down)]
-
     def tensors(self, mel: np.ndarray) -> pa.Array:
         """Fixed-shape Arrow tensors of tensor_frames x mels; the last one is padded with its lowest value."""
         short = -len(mel) % self.tensor_frames
@@ -135,66 +137,89 @@ class AudioFeatures:
         return [(a * self.hop / self.to, ((b - 1) * self.hop + self.frame) / self.to) for a, b in found]
 
     def ipc(self, mel: np.ndarray) -> bytes:
-        """The tensors and the time span of each as one Arrow stream."""
+        """The tensors, the time span of each and how many of its frames are no padding, as one Arrow stream."""
         rows = self.tensors(mel)
         step = self.tensor_frames * self.hop / self.to
         start = np.arange(len(rows)) * step
-        batch = pa.RecordBatch.from_arrays([rows, pa.array(start), pa.array(np.minimum(start + step, ((len(mel) - 1) * self.hop + self.frame) / self.to))], ["tensor", "start_s", "end_s"])
+        end = np.minimum(start + step, ((len(mel) - 1) * self.hop + self.frame) / self.to)
+        frames = np.minimum(len(mel) - np.arange(len(rows)) * self.tensor_frames, self.tensor_frames)
+        batch = pa.RecordBatch.from_arrays([rows, pa.array(start), pa.array(end), pa.array(frames)], ["tensor", "start_s", "end_s", "frames"])
         out = io.BytesIO()
         with pa.ipc.new_stream(out, batch.schema) as stream:
             stream.write_batch(batch)
         return out.getvalue()
 
 
+def read_tensors(data: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The log-mel frames of an Arrow stream of ipc, without padding, and the time span of each tensor."""
+    with pa.ipc.open_stream(data) as stream:
+        batch = stream.read_next_batch()
+    tensors = batch.column(0).to_numpy_ndarray()
+    frames = batch.column(3).to_numpy()
+    return tensors.reshape(-1, tensors.shape[-1])[: int(frames.sum())], list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+
+
 def pad_payload(data: bytes, unit: int) -> bytes:
     """data, then bytes 255 up to a positive multiple of unit."""
     return data + b"\xff" * (unit - len(data) % unit if len(data) % unit or not data else 0)
 
 
-def feature_text(audio: AudioFeatures, samples: np.ndarray) -> tuple[str, np.ndarray, list[tuple[float, float]]]:
-    mel, energy = audio.log_mel(samples)
-    spans = audio.spans(energy)
-    stored = np.round(np.stack((mel.mean(axis=0), mel.std(axis=0)), axis=1), 2).ravel()
-    text = f"frames={len(mel)};mels={audio.mels};segments={len(spans)};voiced_s={sum(b - a for a, b in spans):.3f};" + "mel=" + ",".join(f"{x:.2f}" for x in stored)
-    return text, mel, spans
+def feature_text(audio: AudioFeatures, tensors: bytes, spans: list[tuple[float, float]]) -> str:
+    """A summary of stored tensors and of the segments: counts, seconds, mean and deviation of each mel band."""
+    mel, times = read_tensors(tensors)
+    bands = np.round(np.stack((mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)), axis=1), 2).ravel()
+    head = f"frames={len(mel)};mels={audio.mels};tensors={len(times)};end_s={times[-1][1]:.3f};segments={len(spans)};voiced_s={sum(b - a for a, b in spans):.3f};"
+    return head + "mel=" + ",".join(f"{x:.2f}" for x in bands)
 
 
-def audio_columns(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 576, with_media: bool = False, **settings
-) -> DataFrame:
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 576, **settings) -> DataFrame:
     """Store every whole text as 8-bit audio, read it back and compute features from what was read.
 
-    A row per input row: the id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature; with_media also media (the WAV file), tensors (an
-    Arrow stream of fixed-shape tensors with time spans) and spans. Null text is the empty
+    A row per input row: the id, n_bytes (of the text), media (the WAV file), payload_bytes,
+    payload_sha256 and tail_crc32 (of the samples read back from it), tensors (an Arrow
+    stream of fixed-shape log-mel tensors with their time spans), spans (the segments in
+    seconds) and feature (feature_text of the tensors read back). Null text is the empty
     text, whose payload is one unit of 255. Null ids and repeated rows pass through; equal
-    texts give equal values. Other columns are ignored. No shuffle.
+    texts give equal values. Other columns are ignored. No shuffle; a worker holds a slice
+    of a batch, and a long recording is resampled and transformed block by block.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    if with_media:
-        schema += ", media binary, tensors binary, spans array<struct<start_s double, end_s double>>"
+    names = ["n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "tensors", "spans", "feature"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary(), _SPANS, pa.string()]
+    schema = f"`{id_col}` {kind}, n_bytes bigint, media binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, tensors binary, spans array<struct<start_s double, end_s double>>, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         audio = AudioFeatures(**settings)
         for batch in batches:
             raw = as_bytes(batch.column(1))
             for part in pieces(raw):
-                columns: list[list] = [[] for _ in range(7 + 3 * with_media)]
+                rows = []
                 for text in raw[part]:
                     media = store_wav(pad_payload(text, unit), audio.rate)
                     payload = load_wav(media)[1]
-                    feature, mel, spans = feature_text(audio, np.frombuffer(payload, np.uint8))
-                    row = [len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature]
-                    if with_media:
-                        row += [media, audio.ipc(mel), [{"start_s": a, "end_s": b} for a, b in spans]]
-                    for c, x in zip(columns, row):
-                        c.append(x)
-                names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "spans"]
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], *(pa.array(c, t) for c, t in zip(columns, types))],
-                    [id_col, *names[: len(columns)]],
-                )
+                    mel, energy = audio.log_mel(np.frombuffer(payload, np.uint8))
+                    tensors, spans = audio.ipc(mel), audio.spans(energy)
+                    rows.append((len(text), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), tensors, [{"start_s": a, "end_s": b} for a, b in spans], feature_text(audio, tensors, spans)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [id_col, *names])
 
     return docs.select(id_col, docs[text_col].cast("string").alias("text_")).mapInArrow(run, schema)
+
+
+def audio_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """Digests of audio_columns: the stored forms as sizes and sha256, the segments and the feature."""
+    return audio_columns(docs, id_col, text_col, **settings).select(
+        id_col,
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.length("tensors").cast("long").alias("tensor_bytes"),
+        F.sha2("tensors", 256).alias("tensors_sha256"),
+        "spans",
+    )

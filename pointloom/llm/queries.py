@@ -11,7 +11,7 @@ from .common import table
 from .html_text import extract_text
 from .jaccard import jaccard_components
 from .lines import LINE_REPORT_SQL, line_report
-from .media import audio_columns
+from .media import audio_report
 from .neighbors import near_duplicates
 from .packing import pack
 from .secrets import secret_report
@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_columns(table(spark, sf_dir, "documents"))
+    return audio_report(table(spark, sf_dir, "documents"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

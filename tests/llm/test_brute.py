@@ -1,7 +1,6 @@
 """Operators against brute force, other libraries, round trips or held-out accuracy."""
 
 import hashlib
-import io
 import math
 import os
 import random
@@ -16,7 +15,8 @@ import pytest
 from pointloom.llm import queries as q
 from pointloom.llm.bpe import Codec, read_ranks
 from pointloom.llm.jaccard import jaccard_components, link_cluster
-from pointloom.llm.media import AudioFeatures, load_wav, pad_payload, store_wav
+from pointloom.llm import media
+from pointloom.llm.media import AudioFeatures, Polyphase, audio_columns, audio_report, hysteresis, load_wav, low_pass, pad_payload, read_tensors, store_wav
 from pointloom.llm.neighbors import near_duplicates
 from pointloom.llm.packing import column_generation, make_plan
 from pointloom.llm.secrets import ALLOWED, KINDS, redact, secret_report
@@ -59,19 +59,80 @@ def test_media_round_trip():
     for n in (0, 1, 575, 576, 577, 300_000):
         data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
         payload = pad_payload(data, 576)
-        assert len(payload) % 576 == 0 and payload.startswith(data) and 0 < len(payload) - n <= 576 + (n % 576 == 0) * 0 or n % 576 == 0
+        assert payload.startswith(data) and set(payload[n:]) <= {255} and len(payload) == max(576, -(-n // 576) * 576)
         assert load_wav(store_wav(payload, 16000)) == (16000, payload)
-        mel, energy = audio.log_mel(np.frombuffer(payload, np.uint8))
-        batch = pa.ipc.open_stream(io.BytesIO(audio.ipc(mel))).read_all()
-        tensors = batch.column("tensor").combine_chunks()
-        tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
-        assert np.allclose(tensors.to_numpy_ndarray().reshape(-1, audio.mels)[: len(mel)], mel)
+        mel, _ = audio.log_mel(np.frombuffer(payload, np.uint8))
+        stored, times = read_tensors(audio.ipc(mel))
+        assert np.array_equal(stored, mel) and times[0][0] == 0.0 and all(a < b for a, b in times)
     tone = np.zeros(32000, np.uint8) + 128
     tone[16000:24000] = (128 + 100 * np.sin(np.arange(8000) / 16000 * 2 * np.pi * 440)).astype(np.uint8)
     (start, end), = audio.spans(audio.log_mel(tone)[1])
     assert abs(start - 1.0) < 0.05 and abs(end - 1.5) < 0.05
 
 
+@pytest.mark.parametrize("rate, to", [(16000, 8000), (16000, 11025), (8000, 16000), (22050, 8000)])
+def test_resampling_is_a_convolution_without_seams(rate, to, monkeypatch):
+    """Zeros between the samples, the whole filter, every down-th value; and the same from blocks of any size."""
+    x = np.random.default_rng(2).integers(0, 256, 4001, dtype=np.uint8)
+    own = Polyphase(rate, to)
+    wide = np.zeros(len(x) * own.up)
+    wide[:: own.up] = (x.astype(float) - 128) / 128
+    taps = low_pass(own.up, own.down)
+    want = np.convolve(wide, taps)[len(taps) // 2 :][:: own.down][: own.count(len(x))]
+    assert np.allclose(own(x), want, atol=1e-4)
+    seams = [own(x, i, min(i + 97, own.count(len(x)))) for i in range(0, own.count(len(x)), 97)]
+    assert np.allclose(np.concatenate(seams), own(x), atol=1e-6)
+    whole = AudioFeatures(rate, to).log_mel(x)[0]
+    monkeypatch.setattr(media, "BLOCK", 131)
+    assert np.allclose(AudioFeatures(rate, to).log_mel(x)[0], whole, atol=1e-3)
+
+
+def test_log_mel_and_segments_by_hand():
+    x = np.random.default_rng(3).integers(0, 256, 3000, dtype=np.uint8)
+    audio = AudioFeatures()
+    mel, energy = audio.log_mel(x)
+    wave = audio.resample(x).astype(float)
+    assert len(mel) == 1 + math.ceil((len(wave) - 256) / 128)
+    wave = np.concatenate((wave, np.zeros(256)))
+    top = 2595 * math.log10(1 + 4000 / 700)
+    edges = [700 * (10 ** (top * k / 17 / 2595) - 1) for k in range(18)]
+    for k in (0, 3, len(mel) - 1):
+        frame = [wave[k * 128 + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / 255)) for i in range(256)]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * f * i / 256), -math.sin(2 * math.pi * f * i / 256)) for i, v in enumerate(frame))) ** 2 for f in range(129)]
+        assert energy[k] == pytest.approx(10 * math.log10(sum(power) / 129 + 1e-6), abs=1e-2)
+        for m in range(16):
+            lo, mid, hi = edges[m : m + 3]
+            weight = [max(0.0, min((f * 31.25 - lo) / (mid - lo), (hi - f * 31.25) / (hi - mid))) for f in range(129)]
+            assert mel[k][m] == pytest.approx(10 * math.log10(sum(w * p for w, p in zip(weight, power)) + 1e-6), abs=1e-2)
+    rng = random.Random(4)
+    for _ in range(50):
+        values = [rng.choice([0, 1, 2]) for _ in range(30)]
+        want, start = [], None
+        for i, v in enumerate([*values, 0]):
+            if v >= 1 and start is None:
+                start = i
+            elif v < 1 and start is not None:
+                if max(values[start:i]) >= 2:
+                    want.append((start, i))
+                start = None
+        assert hysteresis(np.array(values), 2, 1) == want
+
+
+def test_media_rows(spark):
+    docs = [(1, "a b c"), (2, "a b c"), (3, None), (4, "é" * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    full, report = ({r["doc_id"]: r for r in f(df).collect()} for f in (audio_columns, audio_report))
+    for i, text in docs:
+        payload = pad_payload((text or "").encode(), 576)
+        f, r = full[i], report[i]
+        assert load_wav(f["media"])[1] == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert (r["media_bytes"], r["media_sha256"]) == (len(f["media"]), hashlib.sha256(f["media"]).hexdigest())
+        mel, times = read_tensors(f["tensors"])
+        assert np.array_equal(mel, AudioFeatures().log_mel(np.frombuffer(payload, np.uint8))[0])
+        assert r["tensors_sha256"] == hashlib.sha256(f["tensors"]).hexdigest() and f"tensors={len(times)};" in r["feature"]
+    assert [*report[1]][1:] == [*report[2]][1:]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -7,7 +7,7 @@ from pointloom.llm.bpe import encode_decode
 from pointloom.llm.html_text import extract_text
 from pointloom.llm.jaccard import jaccard_components
 from pointloom.llm.lines import line_report
-from pointloom.llm.media import audio_columns
+from pointloom.llm.media import audio_report
 from pointloom.llm.neighbors import near_duplicates
 from pointloom.llm.secrets import redact, secret_report
 from pointloom.llm.substrings import remove_repeats
@@ -37,7 +37,7 @@ def run_toxic(docs):
 
 RUNS = {
     "bpe": lambda d: encode_decode(d, *tokenizer()),
-    "media": audio_columns,
+    "media": audio_report,
     "packing": q.pack_documents,
     "substrings": remove_repeats,
     "jaccard": jaccard_components,
