@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 
 def _lines(text):
@@ -51,49 +51,42 @@ def remove_boilerplate(
     text_col: str = "text",
     site_col: str = "source",
     out: tuple[str, str] = ("n_lines", "n_removed"),
-    spare_majority: bool = False,
 ) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and the two counts named by out.
 
     A line (between line feeds; spaces, tabs and returns at its ends don't count) is
     boilerplate if at least sites distinct sites show it. Every occurrence goes, whatever
     its share of the document, which may be left empty. Only of a text that as a whole is
-    on that many sites does one copy, that of least id, stay as it is. With spare_majority,
-    the rule of LINE_SQL, documents of which boilerplate makes up more than half of the
-    characters stay as they are instead. Blank lines stay. A null site is no site. Null and
+    on that many sites does one copy, that of least id, stay as it is (rows that repeat
+    both id and text stay together). Blank lines stay. A null site is no site. Null and
     empty texts stay as they are and have 0 lines and 1 line; rows with null ids and
-    repeated rows are treated like others.
+    repeated rows are treated like others. Columns of any other name pass through.
+
+    Rows are matched by 128 bits of their id and text.
     """
     id_, text = F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
-    row = F.xxhash64(F.coalesce(id_, F.lit("\0")), text)
+    row_col, gone_col = free_name(docs, "row"), free_name(docs, "gone")
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.length(id_).cast("string"), F.lit(":"), id_), F.lit("null:")), text)))
     exploded = docs.select(row.alias("row"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(F.transform(_lines(text), _key)).alias("at", "key")).filter("key is not null")
     keys = stored(site_spread(exploded.select("key", "site"), sites), "boilerplate")
-    marked = exploded.join(keys, "key").groupBy("row").agg(F.collect_set("at").alias("gone__"))
-    if not spare_majority:
-        wholes = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("whole"), F.col(f"`{site_col}`").cast("string").alias("site"))
-        marked = marked.join(whole_copies(wholes, sites), "row", "left_anti")
-    joined = docs.withColumn("row__", row).join(marked.withColumnRenamed("row", "row__"), "row__", "left").drop("row__")
-    lines = _lines(text)
-    size = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone__", i))
-    worth = F.col("gone__").isNotNull()
-    if spare_majority:
-        worth = worth & (2 * size(kept) >= size(lines))
+    marked = exploded.join(keys, "key").groupBy("row").agg(F.collect_set("at").alias("gone"))
+    wholes = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("whole"), F.col(f"`{site_col}`").cast("string").alias("site"))
+    marked = marked.join(whole_copies(wholes, sites), "row", "left_anti").select(F.col("row").alias(row_col), F.col("gone").alias(gone_col))
+    joined = docs.withColumn(row_col, row).join(marked, row_col, "left").drop(row_col)
+    lines, gone = _lines(text), F.col(gone_col)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
     return (
         joined.withColumn(out[0], F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn(out[1], F.when(worth, F.size("gone__")).otherwise(0).cast("long"))
-        .withColumn(text_col, F.when(worth, F.array_join(kept, "\n")).otherwise(text))
-        .drop("gone__")
+        .withColumn(out[1], F.when(gone.isNotNull(), F.size(gone)).otherwise(0).cast("long"))
+        .withColumn(text_col, F.when(gone.isNotNull(), F.array_join(kept, "\n")).otherwise(text))
+        .drop(gone_col)
     )
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = 10) -> DataFrame:
-    """A row per input row: id, n_lines, n_removed, n_chars_kept, kept_sha256 (null text: the digest of nothing).
-
-    By the rule of LINE_REPORT_SQL, which spares documents that are mostly boilerplate.
-    """
+    """A row per input row: id, n_lines, n_removed, n_chars_kept, kept_sha256 (null text: the digest of nothing)."""
     wanted = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{site_col}`").alias("site"))
-    done = remove_boilerplate(wanted, sites, "id", "body", "site", spare_majority=True)
+    done = remove_boilerplate(wanted, sites, "id", "body", "site")
     body = F.coalesce("body", F.lit(""))
     return done.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.length(body).cast("long").alias("n_chars_kept"), F.sha2(body, 256).alias("kept_sha256"))
 
@@ -107,13 +100,12 @@ t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
 b AS (SELECT bare FROM t WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= {sites}),
 m AS (SELECT t.*, b.bare IS NOT NULL AS gone FROM t LEFT JOIN b USING (bare)),
 s AS (
-  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(line)) AS total,
-         coalesce(sum(length(line)) FILTER (NOT gone), 0) AS stays,
-         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
   FROM m GROUP BY r),
+w AS (SELECT text AS whole, min(doc_id) AS least FROM d WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= {sites}),
 f AS (
-  SELECT d.*, coalesce(n_lines, 0) AS n_lines, n_gone > 0 AND 2 * stays >= total AS worth, n_gone, kept
-  FROM d LEFT JOIN s USING (r))
+  SELECT d.*, coalesce(n_lines, 0) AS n_lines, n_gone, kept, coalesce(n_gone, 0) > 0 AND (w.whole IS NULL OR d.doc_id IS DISTINCT FROM w.least) AS worth
+  FROM d LEFT JOIN s USING (r) LEFT JOIN w ON d.text = w.whole)
 """
 
 LINE_REPORT_SQL = (

@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pointloom.llm import queries as q
 from pointloom.llm.html_text import main_text
-from pointloom.llm.lines import remove_boilerplate
+from pointloom.llm.lines import LINE_REPORT_SQL, line_report, remove_boilerplate
 from pointloom.llm.toxicity import Model, Scorer, trigram_counts
 
 P = pytest.importorskip("public_tokenizers")
@@ -24,6 +25,22 @@ def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark):
     want += [(30 + i, "", 2) for i in range(1, 12)] + [(60 + i, "two sites", 0) for i in range(12)]
     key = lambda x: (x[0] is None, x)
     assert sorted(got, key=key) == sorted(want, key=key)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows] + [99, None], "text": [r[1] for r in rows] + [None, notice], "source": [r[2] for r in rows] + ["s1", None]}))
+    more = docs.unionByName(spark.createDataFrame([(99, None, "s1"), (None, notice, None)], docs.schema))
+    report = line_report(more)
+    cur = con.execute(LINE_REPORT_SQL.format(documents="documents", sites=10))
+    assert [d[0] for d in cur.description] == report.columns
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r)) for r in report.collect())
+
+
+def test_boilerplate_with_clashing_columns(spark):
+    rows = [(i, "notice\nown", f"s{i}", i, "x", "y") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, gone string, `key` string")
+    got = remove_boilerplate(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert all((r["text"], r["row"], r["gone"], r["n_removed"]) == ("", r["doc_id"], "x", 2) or r["doc_id"] == 0 and r["text"] == "notice\nown" for r in got.collect())
 
 
 @pytest.mark.parametrize(
