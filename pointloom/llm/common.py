@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: White space of every word rule: space, tab, line feed, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -19,15 +19,21 @@ _BLOCK = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share.
+    """A fresh folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
-    A folder of this machine is made only where the setting is absent, as in tests.
+    Only where that setting is absent and all runs on this machine, as in tests, a folder
+    of this machine is made; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+    ours = f"{base.rstrip('/')}/pointloom-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ours)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{ours}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -169,7 +175,3 @@ def ids_of(column) -> np.ndarray:
 
 def id_or_none(x: int):
     return None if x == NO_ID else int(x)
-
-
-def not_null_text(column: str):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
