@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of every word rule: space, tab, line feed, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
-#: Sorts after every document id; stands for a null id inside hash tables.
-NO_ID = np.int64(2**63 - 1)
-
-_ODD = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 20
-
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
@@ -68,110 +64,150 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done = 1
-    while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * np.uint64(pow(base, done, 1 << 64))
-        done += take
-    return out
-
-
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
-_cache: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _cache or len(_cache[name]) < n:
-        _cache[name] = _powers(base, max(n, 1 << 16))
-    return _cache[name]
-
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
 
-def _rolled(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes, modulo 2**64, of values[start:end] for all starts at once."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _table("up", _ODD, n + 1)[:n], out=sums[1:])
-    raw = (sums[end] - sums[start]) * _table("down", _INVERSE, n + 1)[start]
-    return mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of raw on, which must end in eight bytes of padding."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words are runs of anything but the six white-space bytes."""
-    return text.split()
 
+class Words:
+    """The words of some texts: joined with one space after each, where each starts and ends, how many each text has.
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and the word count of each text.
-
-    Whole texts, hashed in blocks of about 1 MB, so that the scratch space is bounded by
-    the block or by the longest single text.
-    """
-    hashes, counts, block, size = [], [], [], 0
-    for text in texts:
-        block.append(text)
-        size += len(text) + 1
-        if size >= _BLOCK:
-            h, c = _hash_block(block, lower)
-            hashes.append(h), counts.append(c)
-            block, size = [], 0
-    if block:
-        h, c = _hash_block(block, lower)
-        hashes.append(h), counts.append(c)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
-
-
-def _hash_block(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    joined = b"\n".join(texts) + b"\n"
-    if lower:
-        joined = joined.lower()  # bytes: A-Z only
-    raw = np.frombuffer(joined, np.uint8)
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(start, ends)
-    return _rolled(_BYTES[raw], start, end), np.diff(np.concatenate(([0], upto)))
-
-
-def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of width words that lie in one text.
-
-    Returns them with the index of each window's text and its first word's index.
+    Words are runs of anything but the six white-space bytes; lower maps A-Z only. The
+    scratch space is a few times the texts.
     """
-    n = len(words)
-    if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(n - width + 1)
-    start = start[text[: n - width + 1] == text[width - 1 :]]
-    out = np.empty(len(start), np.uint64)
-    step = 1 << 20
-    for i in range(0, len(start), step):
-        part = start[i : i + step]
-        if len(part):
-            lo = part[0]
-            out[i : i + step] = _rolled(words[lo : part[-1] + width], part - lo, part - lo + width)
-    return out, text[start], start
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        joined = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        word = ~_IS_SPACE[raw]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate(([0], edge))
+        begin, length = edge[::2], edge[1::2] - edge[::2]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.counts = np.diff(np.searchsorted(begin, ends), prepend=0) if len(texts) else np.zeros(0, np.int64)
+        keep = word.copy()
+        keep[edge[1::2]] = True  # the byte after each word
+        bare = np.zeros(int(length.sum()) + len(length) + 8, np.uint8)
+        bare[:-8] = raw[keep]
+        self.end = np.cumsum(length + 1) - 1
+        self.start = self.end - length
+        bare[self.end] = 32
+        self.raw = bare
+
+    def hashes(self, salt: int = 0, some: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of all words, or of those numbered in some: eight bytes at a time, each folded in by mix."""
+        start, end = (self.start, self.end) if some is None else (self.start[some], self.end[some])
+        length, eights = end - start, _eights(self.raw)
+        h = mix((length.astype(np.uint64) + np.uint64(salt << 32)) * np.uint64(0x9E3779B97F4A7C15))
+        short = np.arange(len(start)) if not (length > _LONG).any() else np.flatnonzero(length <= _LONG)
+        at = 0
+        while len(short):
+            left = length[short] - at
+            h[short] = mix(h[short] ^ (eights[start[short] + at] & _TAIL[np.minimum(left, 8)]))
+            at += 8
+            short = short[left > 8]
+        for i in np.flatnonzero(length > _LONG).tolist():
+            digest = hashlib.blake2b(self.raw[start[i] : end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest()
+            h[i] = np.frombuffer(digest, "<u8")[0]
+        return h
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of all windows of width words that lie in one text, and the numbers of their texts."""
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        n = len(text) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start = np.flatnonzero(text[:n] == text[width - 1 :])
+        return start, text[start]
+
+    def span(self, first: int, end: int) -> bytes:
+        """Words first to end, joined by spaces."""
+        return self.raw[self.start[first] : self.end[end - 1]].tobytes() if end > first else b""
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+
+
+def same_words(one: Words, a: np.ndarray, two: Words, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the width words from a on of one are those from b on of two, pair by pair and byte by byte."""
+    at, to = one.start[a], two.start[b]
+    length = one.end[a + width - 1] - at
+    same = length == two.end[b + width - 1] - to
+    left, right = _eights(one.raw), _eights(two.raw)
+    some, k = np.flatnonzero(same), 0
+    while len(some):
+        if k == 4096:  # few and very long
+            for i in some.tolist():
+                same[i] = bytes(one.raw[at[i] : at[i] + length[i]]) == bytes(two.raw[to[i] : to[i] + length[i]])
+            break
+        rest = length[some] - k
+        same[some] = ((left[at[some] + k] ^ right[to[some] + k]) & _TAIL[np.minimum(rest, 8)]) == 0
+        some = some[same[some] & (rest > 8)]
+        k += 8
+    return same
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the windows of width word hashes from each start on; every word changes the hash."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for k in range(width):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += words[k : k + n]
+    return mix(h)[starts]
 
 
 def as_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null becomes the empty text."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def ids_of(column) -> np.ndarray:
-    """Arrow ids as int64, nulls as NO_ID."""
-    import pyarrow as pa
-
-    return column.cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
-
-
-def id_or_none(x: int):
-    return None if x == NO_ID else int(x)
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Whole rows of about size bytes of text at a time, over batch limits: the columns before the last, which is text."""
+    columns: list[list] = []
+    texts: list[bytes] = []
+    total = 0
+    for batch in batches:
+        raw = as_bytes(batch.column(batch.num_columns - 1))
+        others = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+        first = 0
+        for i, text in enumerate(raw):
+            total += len(text) + 1
+            if total >= size or i == len(raw) - 1:
+                columns.append([c[first : i + 1] for c in others])
+                texts += raw[first : i + 1]
+                first = i + 1
+            if total >= size:
+                yield [np.concatenate(c) for c in zip(*columns)], texts
+                columns, texts, total = [], [], 0
+    if texts:
+        yield [np.concatenate(c) for c in zip(*columns)], texts
+
+
+def buckets_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys 0 to buckets - 1; bucket_column says the same of a column."""
+    return ((numbers ^ (numbers >> np.int64(9))) % buckets + buckets) % buckets
+
+
+def bucket_column(number: Column, buckets: int) -> Column:
+    return F.pmod(number.bitwiseXOR(F.shiftright(number, 9)), F.lit(buckets).cast("long"))
+
+
+def pack_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin and end, in arrays that are sorted by them."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)

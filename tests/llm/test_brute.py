@@ -172,22 +172,45 @@ def test_column_generation_is_near_the_bound():
     assert sum(plan.packed.values()) > 0.9 * sum(demand.values())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, seed):
+def kept_by_hand(docs, width=13):
+    """(id, n_words, n_removed, sha256) of each row; a null id sorts last and takes nothing away."""
+    first = {}
+    words = [(i, re.findall(rb"[^ \t\n\x0b\x0c\r]+", (t or "").encode())) for i, t in docs]
+    for i, w in words:
+        for k in range(len(w) - width + 1):
+            key = tuple(w[k : k + width])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = {j for k in range(len(w) - width + 1) if (f := first.get(tuple(w[k : k + width]))) is not None and (i is None or f < i) for j in range(k, k + width)}
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, settings", [(1, {}), (2, {"most": 40, "chunk": 300}), (3, {"most": 60, "chunk": 1500, "bits": 8, "most_mixed": 300}), (4, {"chunk": 2000, "bits": 10})])
+def test_substrings(spark, seed, settings):
+    """Also with paths of so few bits that most of them stand for several windows."""
     rng = random.Random(seed)
     docs = list(enumerate(random_docs(rng, 60, 60)))
+    docs += [(None, docs[3][1]), (None, docs[70][1] + " " + docs[80][1]), (None, None), (2**63 - 1, docs[75][1]), (-(2**63), docs[40][1]), (50, docs[20][1]), (50, docs[20][1])]
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in remove_repeats(df, most=40, chunk=300).collect()}
-    first = {}
-    words = {i: t.split() for i, t in docs}
-    for i in sorted(words):
-        for k in range(len(words[i]) - 12):
-            first.setdefault(tuple(words[i][k : k + 13]), i)
-    for i, w in words.items():
-        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
-        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(df, bucket_words=300, **settings).collect()]
+    assert sorted(got, key=str) == kept_by_hand(docs)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_substrings_of_words_that_polynomial_hashes_confuse(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"x {head} {one}")]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
 
 
 def components_of(sets, linked):
@@ -217,6 +240,11 @@ def test_jaccard_in_regions(spark, limits):
     check_jaccard(spark, 7, **limits)
 
 
+@pytest.mark.parametrize("bits", [14, 18])
+def test_jaccard_with_hashes_that_are_wrong(spark, bits):
+    check_jaccard(spark, 8, bits=bits)
+
+
 def check_jaccard(spark, seed, **settings):
     rng = random.Random(seed)
     docs = random_docs(rng, 80, 60)
@@ -227,15 +255,35 @@ def check_jaccard(spark, seed, **settings):
             own[rng.randrange(80)] = f"y{rng.randrange(50)}"
         docs.append(" ".join(own))
     docs = list(enumerate(docs))
+    docs += [(None, docs[100][1]), (None, docs[90][1] + " more"), (None, "quite another text without an id here"), (None, None), (2**63 - 1, docs[150][1].upper()), (-(2**63), "alone and of the least id that there is")]
+    docs += [(7, docs[30][1] + " x"), (7, docs[60][1]), (8, ""), (9, docs[9][1])]  # ids with several texts
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, **settings).collect()}
-    sets = {}
-    for i, t in docs:
-        w = t.lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    want = components_of(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
-    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df, **settings).collect()), key=str)
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    texts = dict(enumerate(sets))
+    ids = [i for i, _ in docs]
+    label = components_of(texts, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    for i in set(ids) - {None}:  # rows of one id are one document
+        own = {label[k] for k in texts if ids[k] == i and sets[k]}
+        label = {k: min(own) if c in own else c for k, c in label.items()}
+    least = {}
+    for k, c in label.items():
+        if ids[k] is not None and sets[k]:
+            least[c] = min(least.get(c, ids[k]), ids[k])
+    want = sorted(((i, len(sets[k]), least.get(label[k], i) if sets[k] else i) for k, i in enumerate(ids)), key=str)
+    assert got == want
+
+
+def test_jaccard_of_words_that_polynomial_hashes_confuse(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{one} a b c d"), (2, f"{two} a b c d"), (3, f"{one} A b c d")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
 
 
 def test_link_cluster_is_exact():
