@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -140,7 +141,7 @@ def _pack(kind: int, keys: np.ndarray, nul: np.ndarray, ids: np.ndarray, paths:
 
 def _unpack(table: pa.Table, *kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """nul, ids, paths, refs (of TIED rows), words (of SPELT rows) of the rows of the kinds."""
-    table = table.filter(pa.compute.is_in(table.column("kind"), pa.array(kinds, pa.int32())))
+    table = table.filter(pc.is_in(table.column("kind"), pa.array(kinds, pa.int32())))
 
     def joined(name, kind):
         parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
@@ -164,6 +165,8 @@ def deep_nodes(nul: np.ndarray, ids: np.ndarray, paths: np.ndarray) -> tuple[np.
 def _pieces(paths: np.ndarray, starts: np.ndarray, refs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows that repeat the same document, cut where a path's last bits are zero, so that
     copies are cut in the same places: first word, end word, repeated document of each."""
+    if not len(starts):
+        return starts, starts, refs
     new = np.ones(len(starts), bool)
     new[1:] = (np.diff(starts) != 1) | (refs[1:] != refs[:-1]) | ((paths[1:] & np.uint64(15)) == 0)
     first = np.flatnonzero(new)
@@ -297,8 +300,9 @@ def _judge(texts: DataFrame, bounds: np.ndarray, buckets: int, width: int, chunk
             at = _found(nul_t, ids_t, paths_t, nul[text], num[text], paths)
             gone |= at >= 0
             tied = np.flatnonzero(at >= 0)
-            for a, b, ref in zip(*(x.tolist() for x in _pieces(paths[tied], starts[tied], refs[at[tied]], width))):
-                out.append((int(buckets_of(np.array([ref]), buckets)[0]), None, ref, None, None, None, None, None, None, words.span(a, b)))
+            begin, end, whose = _pieces(paths[tied], starts[tied], refs[at[tied]], width)
+            for a, b, ref, key in zip(*(x.tolist() for x in (begin, end, whose, buckets_of(whose, buckets)))):
+                out.append((key, None, ref, None, None, None, None, None, None, words.span(a, b)))
             nul_x, ids_x, _, _, texts_x = _unpack(right, SPELT)
             if texts_x:
                 known = set(zip(nul_x.tolist(), ids_x.tolist(), texts_x))
@@ -322,7 +326,7 @@ def _judge(texts: DataFrame, bounds: np.ndarray, buckets: int, width: int, chunk
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         """The result rows as they are; of the pieces only paths whose words the repeated document doesn't have."""
         claim = right.column("piece").is_valid()
-        claims, others = right.filter(claim), right.filter(pa.compute.invert(claim))
+        claims, others = right.filter(claim), right.filter(pc.invert(claim))
         if not len(claims):
             return others
         num = np.where(left.column("nul").to_numpy(zero_copy_only=False), np.nan, 0) if len(left) else np.zeros(0)
