@@ -10,6 +10,10 @@ from .coerce import either, escape_html, leading_int, link, spaced, text, yes_no
 AGENCY = ("A", "AGENCY", "AGENCIES")
 INDIVIDUAL = ("I", "INDIVIDUAL", "INDIVIDUALS")
 MIXED = ("BOTH", "MIXED")
+#: Columns whose Y and N are shown as Yes and No.
+YES_NO = ("VIRTUAL", "MEDICAID", "PMH_C", "CDPH")
+#: What a drawn object without a description is shown as, and the prompt that counts as none.
+UNDESCRIBED, PROMPT = "-- no description provided --", "geometry description"
 COLORS = {"both": "violet", "agency": "blue", "individual": "red", "other": "gray"}
 
 
@@ -52,10 +56,10 @@ def display_count(total: Column, rows: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) != 0, total).otherwise(rows)
 
 
-def details(columns: list[str], hidden: tuple[str, ...] = (), labels: dict[str, str] | None = None) -> Column:
-    """Label and value of the shown columns that are not blank (FLT-7, PRJ-1, SCL-10)."""
+def details(columns: list[str], hidden: tuple[str, ...] = (), labels: dict[str, str] | None = None, answers: tuple[str, ...] = YES_NO) -> Column:
+    """Label and value of the shown columns that are not blank (FLT-7, PRJ-1, SCL-10); Y and N as words in answers only."""
     shown = [c for c in columns if c not in hidden and not c.startswith("Unnamed")]
-    pairs = [F.struct(F.lit((labels or {}).get(c, c.replace("_", " "))).alias("label"), yes_no(F.col(f"`{c}`")).alias("value")) for c in shown]
+    pairs = [F.struct(F.lit((labels or {}).get(c, c.replace("_", " "))).alias("label"), (yes_no if c in answers else text)(F.col(f"`{c}`")).alias("value")) for c in shown]
     return F.filter(F.array(*pairs), lambda x: x["value"] != "") if pairs else F.array().cast("array<struct<label:string,value:string>>")
 
 
@@ -69,9 +73,24 @@ def popup(title: Column, pairs: Column, url: Column | None = None) -> Column:
     return F.concat(head, F.lit("<table>"), rows, F.lit("</table>"))
 
 
-def caption(label: Column, title: Column, index: Column) -> Column:
-    """A marker's caption: its label, else its title, else a numbered name (PRJ-7)."""
-    return F.coalesce(F.nullif(label, F.lit("")), F.nullif(title, F.lit("")), F.concat(F.lit("Marker "), index.cast("string")))
+def caption(label: Column, title: Column, index: Column, own: Column | None = None) -> Column:
+    """A marker's caption: the label of its field, else its title, else "Marker " and its own label or index (PRJ-7)."""
+    number = index.cast("string")
+    if own is not None:
+        number = F.coalesce(F.nullif(own.cast("string"), F.lit("")), number)
+    return F.coalesce(F.nullif(label, F.lit("")), F.nullif(title, F.lit("")), F.concat(F.lit("Marker "), number))
+
+
+def type_popup(name: Column, kind: Column) -> Column:
+    """A feature's name and type as escaped HTML (PRJ-3)."""
+    return F.concat(F.lit("<h3>"), escape_html(name), F.lit("</h3>Type: "), escape_html(kind), F.lit(" "))
+
+
+def person_popup(first: Column, last: Column, birthplace: Column, station: Column, note: str = "") -> Column:
+    """A person, where they were born and recruited, and a note, as escaped HTML (PRJ-3)."""
+    head = F.concat(F.lit("<h3>"), escape_html(first), F.lit(" "), escape_html(last), F.lit("</h3>"))
+    places = F.concat(F.lit("<strong>Birthplace: </strong>"), escape_html(birthplace), F.lit("<br><strong>Rec Station: </strong>"), escape_html(station))
+    return F.concat(head, places, F.lit("<br><br><i>"), escape_html(F.lit(note)), F.lit("</i>"))
 
 
 def result_text(last: Column, first: Column, city: Column) -> Column:
@@ -80,8 +99,8 @@ def result_text(last: Column, first: Column, city: Column) -> Column:
 
 
 def described(c: Column) -> Column:
-    """A note, or a default where it is blank (SCL-25)."""
-    return F.when(text(c) == "", "no description").otherwise(text(c))
+    """A description, or the words for none where it is null, blank or the prompt itself (SCL-25)."""
+    return F.when(text(c).isin("", PROMPT), UNDESCRIBED).otherwise(text(c))
 
 
 def key_label(c: Column, labels: dict[str, str]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .filters import need
+
 
 def allowed_errors(query: str, tenths: int) -> int:
     """The greatest e with 10 * e <= tenths * len(query)."""
@@ -25,8 +27,9 @@ def substring_errors(field: Column, query: str, most: int) -> Column:
         maybe = maybe | F.contains(value, F.lit(piece))
     starts = F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1)))
     widths = F.array(*(F.lit(w) for w in range(max(1, m - most), m + most + 1)))
-    best = F.array_min(F.flatten(F.transform(starts, lambda i: F.transform(widths, lambda w: F.levenshtein(F.substring(value, i, w), F.lit(query))))))
-    return F.when(maybe & (F.length(value) > 0) & (best <= most), best)
+    near = lambda i: F.transform(widths, lambda w: F.levenshtein(F.substring(value, i, w), F.lit(query), most))  # -1 beyond most
+    best = F.array_min(F.filter(F.flatten(F.transform(starts, near)), lambda e: e >= 0))
+    return F.when(maybe & (F.length(value) > 0), best)
 
 
 def fuzzy_match(df: DataFrame, column: str, query: str | None, tenths: int = 4, score: str = "score") -> DataFrame:
@@ -39,7 +42,7 @@ def fuzzy_match(df: DataFrame, column: str, query: str | None, tenths: int = 4,
         return df.withColumn(score, F.lit(0.0))
     most = allowed_errors(query, tenths)
     key = f"{column}__key"
-    texts = df.select(F.col(f"`{column}`").alias(key)).filter(f"`{key}` is not null").distinct()
+    texts = need(df, column).select(F.col(f"`{column}`").alias(key)).filter(f"`{key}` is not null").distinct()
     hits = texts.withColumn("e__", substring_errors(F.col(key), query, most)).filter("e__ is not null")
     hits = hits.select(key, (F.col("e__") / F.lit(len(query))).alias(score))
     return df.join(hits, df[column] == hits[key]).drop(key)

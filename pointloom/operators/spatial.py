@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coerce import fixed6
+from .filters import need
 
 EARTH_M = 6_371_000.0
 
@@ -129,22 +130,42 @@ def bounds(df: DataFrame, lat: str, lon: str, pad: float = 0.2) -> DataFrame:
     )
 
 
-def nearest_place(points: DataFrame, gazetteer: DataFrame, id_col: str, reach_m: float = 50_000.0, cell: float = 1.0) -> DataFrame:
+def nearest_place(points: DataFrame, gazetteer: DataFrame, id_col: str, reach_m: float = 50_000.0) -> DataFrame:
     """The address of the nearest gazetteer entry in reach of each point, or the no-result text (SRC-9).
 
-    points: id, lat, lon; gazetteer: place, formatted_address, lat, lon. Points meet the
-    entries of their own and the neighbouring cells of cell degrees, so reach_m is bounded
-    by a cell's height. A point without coordinates is a failed lookup.
+    points: id, lat, lon; gazetteer: place, formatted_address, lat, lon. Rows of cells are as
+    high as reach_m; each row is cut into as many cells as its circle of latitude, where it
+    is shortest, holds reaches. A point meets the entries of its cell and of the neighbouring
+    cells, around the globe; a row near a pole is one cell. Of entries at one distance the
+    first address in order is taken. A point without coordinates, or with ones that are no
+    place on the globe, is a failed lookup.
     """
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    around = F.explode(F.array(*(F.struct((at("lat") + i).alias("cy"), (at("lon") + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    entries = gazetteer.select("formatted_address", F.col("lat").alias("glat"), F.col("lon").alias("glon"), around.alias("c")).select("formatted_address", "glat", "glon", "c.cy", "c.cx")
-    keyed = points.filter("lat is not null and lon is not null").select(id_col, "lat", "lon", at("lat").alias("cy"), at("lon").alias("cx"))
+    if not 0 < reach_m <= EARTH_M * math.pi / 4:
+        raise ValueError(f"reach_m must be above 0 and at most an eighth of the globe: {reach_m}")
+    need(points, id_col, "lat", "lon"), need(gazetteer, "formatted_address", "lat", "lon")
+    step = math.degrees(reach_m / EARTH_M) * 1.001
+    valid = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    row = F.floor((F.col("lat") + 90) / F.lit(step))
+
+    def cells(cy: Column) -> Column:
+        """How many cells the row has: a reach is never wider than one of them."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(cy * F.lit(step) - 90), F.abs((cy + 1) * F.lit(step) - 90)) + F.lit(step))
+        # within reach, longitudes differ by asin(sin(reach) / cos(latitude)) at most
+        ratio = F.lit(math.sin(math.radians(step))) / F.cos(F.radians(far))
+        return F.when((far >= 90) | (ratio >= 1), 1).otherwise(F.greatest(F.floor(F.lit(360.0) / F.degrees(F.asin(F.least(ratio, F.lit(1.0))))), F.lit(1))).cast("long")
+
+    def column(cy: Column) -> Column:
+        return F.pmod(F.floor((F.col("lon") + 180) / 360 * cells(cy)), cells(cy))
+
+    # an entry stands in its own row and in the next ones, in the cell of its longitude there and the cells beside it
+    rows = gazetteer.filter(valid).select("formatted_address", F.col("lat").alias("glat"), F.col("lon").alias("glon"), "lon", F.explode(F.array(row - 1, row, row + 1)).alias("cy"))
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(column(F.col("cy")) + k, cells(F.col("cy")))))
+    entries = rows.select("formatted_address", "glat", "glon", "cy", F.explode(beside).alias("cx"))
+    keyed = points.filter(valid).select(id_col, "lat", "lon", row.alias("cy")).withColumn("cx", column(F.col("cy")))
     met = keyed.join(entries, ["cy", "cx"]).withColumn("m", distance_m(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon"))).filter(F.col("m") <= reach_m)
     best = met.groupBy(id_col).agg(F.min_by("formatted_address", F.struct("m", "formatted_address")).alias("found"))
     out = points.join(best, id_col, "left")
-    failed = F.col("lat").isNull() | F.col("lon").isNull()
-    return out.withColumn("address", F.when(failed, "Geocoder failed due to: INVALID_REQUEST").otherwise(F.coalesce("found", F.lit("No results found")))).drop("found")
+    return out.withColumn("address", F.when(F.coalesce(valid, F.lit(False)), F.coalesce("found", F.lit("No results found"))).otherwise("Geocoder failed due to: INVALID_REQUEST")).drop("found")
 
 
 def find_place(queries: DataFrame, gazetteer: DataFrame, column: str = "place") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coerce import leading_int
-from ..functions.symbols import display_count, lookup, provider_type, radius, type_color
-from ..operators.filters import YearRange, by_role, in_years, not_blank, split_by_flag, with_flags, with_geometry, with_place
+from ..functions.symbols import display_count, lookup, provider_type, radius, type_color, type_popup
+from ..operators.filters import YearRange, by_role, in_years, need, not_blank, split_by_flag, with_flags, with_geometry, with_place
 from ..operators.search import fuzzy_match, fuzzy_top, having_ids_of
 from ..operators.spatial import cluster_greedily, group_by_place
 
@@ -47,12 +48,31 @@ def cluster_map(providers: DataFrame, query: ProviderQuery = ProviderQuery(), or
     return clusters.groupBy("cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("count")).withColumn("radius", radius(F.col("count"), floor, scale))
 
 
+def row_markers(df: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+    """A marker for each row (SNK-3): lat, lon, name; nothing is grouped or dropped."""
+    return need(df, lat, lon, name).select(F.col(f"`{lat}`").alias("lat"), F.col(f"`{lon}`").alias("lon"), F.col(f"`{name}`").alias("name"))
+
+
+Rule = Column | Callable[[DataFrame], Column]
+
+
+def feature_layer(rows: DataFrame, keep: Rule | None = None, **columns: Rule) -> DataFrame:
+    """The rows that keep holds for, as the named columns (UDF-1).
+
+    What a map takes as callbacks (filter, point to layer, on each feature, show result) is
+    a column here, or a function that gets the rows and returns one.
+    """
+    value = lambda rule: rule(rows) if callable(rule) and not isinstance(rule, Column) else rule
+    kept = rows if keep is None else rows.filter(value(keep))
+    return kept.select(*(value(rule).alias(name) for name, rule in columns.items()))
+
+
 def timeline_map(features: DataFrame, years: YearRange, colors: dict[str, str], default: str = "gray") -> DataFrame:
     """Point features of a range of years with their color and popup (FLT-6, SCL-13, PRJ-3)."""
     flat = with_geometry(features).select("properties.*", F.from_json("geometry.coordinates", "array<double>").alias("at"))
-    return in_years(flat, "year", years).select(
-        F.get("at", F.lit(1)).alias("lat"), F.get("at", F.lit(0)).alias("lon"), "name", "year", lookup(F.col("type"), colors, default).alias("color"), F.concat_ws(": ", "name", "type").alias("popup")
-    )
+    return feature_layer(
+        in_years(flat, "year", years), lat=F.get("at", F.lit(1)), lon=F.get("at", F.lit(0)), name=F.col("name"), year=F.col("year"), color=lookup(F.col("type"), colors, default), popup=type_popup(F.col("name"), F.col("type"))
+    )
 
 
 def migration_search(lines: DataFrame, surname: str, result: Column, limit: int = 10) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import coerce, symbols
 from ..operators import filters, search, spatial, state
 from ..sources import io
-from .pipelines import Layer, visible_rows
+from ..session import work_dir
+from .pipelines import Layer, ProviderQuery, cluster_map, feature_layer, migration_search, provider_map, row_markers, timeline_map, visible_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -192,7 +193,24 @@ def grid_cluster(spark, sf_dir):
     return found.select("cell_x", "cell_y", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query()
+def _greedy_sql(points: str, key: str, reach: float) -> str:
+    """The clusters (i, key, lat, lon, cluster) of an ordered pass; points has i from 1 on, key, lat, lon."""
+    metres = "2 * 6371000.0::double * asin(least(1.0, sqrt(pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2))))"
+    moved = "{'lat': (c.lat * c.n + q.lat) / (c.n + 1), 'lon': (c.lon * c.n + q.lon) / (c.n + 1), 'n': c.n + 1}"
+    return f"""
+WITH RECURSIVE p AS ({points}),
+s AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS {key}, 0::DOUBLE AS lat, 0::DOUBLE AS lon, 0::BIGINT AS cluster, []::STRUCT(lat DOUBLE, lon DOUBLE, n BIGINT)[] AS cs
+  UNION ALL
+  SELECT q.i, q.{key}, q.lat, q.lon, q.hit - 1,
+         CASE WHEN q.hit <= len(q.cs) THEN list_transform(q.cs, lambda c, j: CASE WHEN j = q.hit THEN {moved} ELSE c END) ELSE list_append(q.cs, {{'lat': q.lat, 'lon': q.lon, 'n': 1::BIGINT}}) END
+  FROM (SELECT p.i, p.{key}, p.lat, p.lon, s.cs, coalesce(nullif(list_position(list_transform(s.cs, lambda c: {metres} <= {reach}), true), 0), len(s.cs) + 1)::BIGINT AS hit
+        FROM s JOIN p ON p.i = s.i + 1) AS q),
+clusters AS (SELECT i, {key}, lat, lon, cluster FROM s WHERE i > 0)
+"""
+
+
+@query(_greedy_sql(f"SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, {LAT_SQL} AS lat, {LON_SQL} AS lon FROM customer", "c_custkey", 500.0) + "SELECT c_custkey, lat, lon, cluster FROM clusters")
 def greedy_cluster(spark, sf_dir):
     return spatial.cluster_greedily(places(spark, sf_dir).select("c_custkey", "lat", "lon"), "lat", "lon", "c_custkey", 500.0)
 
@@ -266,7 +284,7 @@ def reverse_geocode(spark, sf_dir):
     lat = F.lit(41.6) + (F.col("n_nationkey") % 5).cast("double") * F.lit(0.0137)
     lon = F.lit(-87.9) + F.floor(F.col("n_nationkey") / F.lit(5.0)) * F.lit(0.0113)
     entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("formatted_address"), lat.alias("lat"), lon.alias("lon"))
-    return spatial.nearest_place(points, entries, "c_custkey", reach_m=400.0, cell=0.02).select("c_custkey", "address")
+    return spatial.nearest_place(points, entries, "c_custkey", reach_m=400.0).select("c_custkey", "address")
 
 
 @query("SELECT n_nationkey, r_regionkey::double AS lat, r_regionkey IS NOT NULL AS is_valid FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
@@ -274,3 +292,289 @@ def place_lookup(spark, sf_dir):
     gazetteer = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.concat(F.lit(" Region "), F.col("r_regionkey").cast("string")).alias("place"), F.col("r_regionkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
     asked = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("place"))
     return spatial.find_place(asked, gazetteer).select("n_nationkey", "lat", "is_valid")
+
+
+def providers(spark, sf_dir):
+    """Customers as a provider table in which every column is text, with what such tables hold: junk, blanks, units."""
+    key = F.col("c_custkey")
+    lat = F.when(key % 11 == 0, "abc").when(key % 11 == 1, "").otherwise(F.concat(F.lit(" "), F.col("lat").cast("string"), F.lit("x")))
+    return places(spark, sf_dir).select(
+        key.alias("ord"),
+        key.cast("string").alias("ID"),
+        F.when(key % 3 > 0, F.col("c_name")).alias("NAME"),
+        lat.alias("LATITUDE"),
+        F.col("lon").cast("string").alias("LONGITUDE"),
+        F.when(key % 10 == 0, "Y").when(key % 10 < 9, "N").alias("CDPH"),
+        F.when(key % 2 == 0, "y").otherwise("N").alias("VIRTUAL"),
+        F.when(key % 7 == 0, "Unknown").when(key % 7 == 1, "0").otherwise(F.concat((key % 7).cast("string"), F.lit(" staff"))).alias("NUM_PROVIDERS"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Agency").when(F.col("c_mktsegment") == "MACHINERY", "individuals").when(F.col("c_mktsegment") == "FURNITURE", "Both").alias("AGENCY_INDIVIDUAL"),
+        F.col("c_mktsegment").alias("NEIGHBORHOODS"),
+    )
+
+
+def _map_sql(where: str) -> str:
+    return f"""
+WITH p AS (SELECT *, {LAT_SQL} AS lat, {LON_SQL} AS lon, {_KIND_SQL} AS kind, CASE c_custkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE c_custkey % 7 END AS n
+           FROM customer WHERE c_custkey % 11 > 1 AND {where}),
+g AS (SELECT arg_min(lat, c_custkey) AS lat, arg_min(lon, c_custkey) AS lon, CAST(sum(n) AS BIGINT) AS total,
+             coalesce(list_sort(list(DISTINCT kind) FILTER (kind <> 'unknown')), []) AS types, count(*) AS n_rows
+      FROM p GROUP BY floor(lat * 1e6 + 0.5), floor(lon * 1e6 + 0.5)),
+c AS (SELECT *, CASE WHEN total <> 0 THEN total ELSE n_rows END AS "count" FROM g)
+SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, "count", array_to_string(types, ',') AS types, {_COLOR_SQL} AS color, round(greatest(6.0::double, sqrt("count") * 3), 6) AS radius, CAST("count" AS VARCHAR) AS label FROM c"""
+
+
+def _map(spark, sf_dir, asked: ProviderQuery):
+    found = provider_map(providers(spark, sf_dir), asked)
+    return found.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "count", F.array_join("types", ",").alias("types"), "color", F.round("radius", 6).alias("radius"), "label")
+
+
+@query(_map_sql("c_custkey % 10 > 0"))
+def map_default(spark, sf_dir):
+    return _map(spark, sf_dir, ProviderQuery())
+
+
+@query(_map_sql("c_custkey % 10 = 0 AND c_custkey % 2 = 0"))
+def map_clinics(spark, sf_dir):
+    return _map(spark, sf_dir, ProviderQuery(flags=("VIRTUAL",), clinics=True))
+
+
+@query(_map_sql(f"c_custkey % 10 > 0 AND NOT starts_with(CAST(c_custkey AS VARCHAR), '2') AND {_fuzzy_sql('c_mktsegment', 'machinry', 3)} <= 3"))
+def map_search(spark, sf_dir):
+    return _map(spark, sf_dir, ProviderQuery(therapist=True, search=" Machinry"))
+
+
+@query(_map_sql("false"))
+def map_empty(spark, sf_dir):
+    return _map(spark, sf_dir, ProviderQuery(search="nothing of this kind"))
+
+
+@query(
+    _greedy_sql(f"SELECT row_number() OVER (ORDER BY c_custkey) AS i, c_custkey, {LAT_SQL} AS lat, {LON_SQL} AS lon FROM customer WHERE c_custkey % 11 > 1 AND c_custkey % 10 > 0", "c_custkey", 500.0)
+    + 'SELECT cluster, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(*) AS "count", round(greatest(8.0::double, sqrt(count(*)) * 10), 6) AS radius FROM clusters GROUP BY cluster'
+)
+def map_clusters(spark, sf_dir):
+    found = cluster_map(providers(spark, sf_dir), reach=500.0)
+    return found.select("cluster", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "count", F.round("radius", 6).alias("radius"))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS id, round({LAT_SQL}, 6) AS lat, round({LON_SQL}, 6) AS lon FROM customer WHERE c_custkey % 11 > 1")
+def parsed_places(spark, sf_dir):
+    return filters.with_place(providers(spark, sf_dir), "LATITUDE", "LONGITUDE").select(F.col("ID").alias("id"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 > 1 THEN CAST(c_custkey % 7 AS INTEGER) ELSE -1 END AS label, round(greatest(8.0::double, sqrt(c_custkey) * 4), 6) AS middle, round(greatest(8.0::double, sqrt(c_custkey) * 10), 6) AS large FROM customer")
+def symbol_sizes(spark, sf_dir):
+    rows = providers(spark, sf_dir)
+    key = F.col("ord")
+    return rows.select(key.alias("c_custkey"), F.coalesce(symbols.count_label(F.col("NUM_PROVIDERS")), F.lit(-1)).alias("label"), F.round(symbols.radius(key, 8, 4), 6).alias("middle"), F.round(symbols.radius(key, 8, 10), 6).alias("large"))
+
+
+@query("SELECT p_partkey, 'VIRTUAL=' || CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END || '|grade=' || CASE WHEN p_size % 2 = 0 THEN 'N' ELSE 'y' END || '|Name of part=' || p_name AS details FROM part")
+def answer_columns(spark, sf_dir):
+    """Only the named columns show Y and N as words."""
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(F.col("p_size") > 25, " y").otherwise("n ").alias("VIRTUAL"), F.when(F.col("p_size") % 2 == 0, "N").otherwise("y").alias("grade"), F.col("p_name").alias("p_name"), F.lit(" ").alias("blank"), F.lit("x").alias("Unnamed: 7")
+    )
+    pairs = symbols.details(part.columns, hidden=("p_partkey",), labels={"p_name": "Name of part"})
+    return part.select("p_partkey", F.array_join(F.transform(pairs, lambda x: F.concat(x["label"], F.lit("="), x["value"])), "|").alias("details"))
+
+
+def _as_csv(spark, df: DataFrame) -> str:
+    path = f"{work_dir(spark)}/table.csv"
+    df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name || ', \"of\" ' || s_nationkey || chr(10) || 'line' AS name, length(CAST(s_suppkey AS VARCHAR)) AS digits FROM supplier")
+def csv_strings(spark, sf_dir):
+    name = F.concat(F.col("s_name"), F.lit(', "of" '), F.col("s_nationkey").cast("string"), F.lit("\nline"))
+    path = _as_csv(spark, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name")))
+    return io.read_csv(spark, path).select("id", "name", F.length("id").cast("long").alias("digits"))
+
+
+@query("SELECT s_suppkey AS id, s_acctbal AS balance, s_suppkey * 2 AS twice FROM supplier")
+def csv_schema(spark, sf_dir):
+    path = _as_csv(spark, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
+    return io.read_csv(spark, path, schema="id bigint, balance double").withColumn("twice", F.col("id") * 2)
+
+
+@query("SELECT CAST(p_size AS INTEGER) AS size, 'NA' AS code, p_retailprice AS price, p_partkey % 2 = 0 AS even FROM part")
+def csv_inferred(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    path = _as_csv(spark, part.select(F.col("p_size").alias("size"), F.lit("NA").alias("code"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 2 == 0).alias("even")))
+    return io.read_csv(spark, path, infer=True)
+
+
+#: Suppliers as features: points, lines and multi-lines by turns; every fifth has no geometry.
+_PROPERTIES = "id bigint, name string"
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    key, lat = F.col("s_suppkey"), F.col("s_nationkey")
+    point = lambda d: F.array(key + d, lat)
+    text = lambda c: F.to_json(c)
+    geometry = (
+        F.when(key % 5 == 0, "null")
+        .when(key % 3 == 0, F.concat(F.lit('{"type":"Point","coordinates":'), text(point(0)), F.lit("}")))
+        .when(key % 3 == 1, F.concat(F.lit('{"type":"LineString","coordinates":'), text(F.array(point(0), point(1))), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"type":"MultiLineString","coordinates":'), text(F.array(F.array(point(0), point(1)), F.array(point(2), point(3)))), F.lit("}")))
+    )
+    properties = F.to_json(F.struct(key.alias("id"), F.col("s_name").alias("name")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), geometry, F.lit("}")).alias("feature"))
+
+
+def _as_script(spark, sf_dir, before: str, after: str) -> str:
+    path = f"{work_dir(spark)}/features.js"
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "feature"))), lambda x: x["feature"]), ",\n")
+    _features(spark, sf_dir).agg(F.concat(F.lit(before), each, F.lit(after)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def _shapes(features: DataFrame) -> DataFrame:
+    at = io.coordinates(F.col("geometry"))
+    last = F.element_at(at, -1)
+    return features.select("properties.id", "properties.name", F.coalesce(F.array_size(at), F.lit(0)).cast("long").alias("vertices"), F.get(last, 0).alias("lon"), F.get(last, 1).alias("lat"))
+
+
+_SHAPES_SQL = """SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE [1, 2, 4][s_suppkey % 3 + 1] END::BIGINT AS vertices,
+CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey + [0, 1, 3][s_suppkey % 3 + 1] END::DOUBLE AS lon, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END::DOUBLE AS lat FROM supplier"""
+
+
+@query(_SHAPES_SQL)
+def geojson_features(spark, sf_dir):
+    return _shapes(io.read_geojson(spark, _as_script(spark, sf_dir, '{"type":"FeatureCollection","name":"x","features":[', "]}"), _PROPERTIES))
+
+
+@query(_SHAPES_SQL)
+def script_features(spark, sf_dir):
+    return _shapes(io.read_geojson(spark, _as_script(spark, sf_dir, '\ufeffvar shapes_1 = {"type":"FeatureCollection","features":[', "]};\n"), _PROPERTIES))
+
+
+@query(_SHAPES_SQL + " WHERE s_suppkey % 5 <> 0")
+def script_array(spark, sf_dir):
+    """Features without a geometry yield no marker."""
+    return _shapes(filters.with_geometry(io.read_feature_array(spark, _as_script(spark, sf_dir, "let rows=[", "] ; "), _PROPERTIES)))
+
+
+@query("SELECT user_id, count(*) AS positions, count(DISTINCT event_type) AS keys, sum(event_id)::DOUBLE AS lat FROM (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL) GROUP BY user_id")
+def saved_positions(spark, sf_dir):
+    """Saved objects, read back as maps and as positions; broken ones are empty."""
+    last = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    entry = F.struct("event_type", F.struct(F.struct(F.col("event_id").cast("double").alias("lat"), F.lit(1.0).alias("lng")).alias("latLng")).alias("value"))
+    saved = last.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("field"))
+    plain = F.regexp_replace("field", r'\{"latLng":(\{[^}]*\})\}', "$1")
+    at = state.positions(plain)
+    return saved.select(
+        "user_id",
+        F.size(at).cast("long").alias("positions"),
+        (F.size(F.map_keys(state.read_state(F.col("field")))) + F.size(state.read_state(F.lit(" "))) + F.size(state.read_state(F.lit("{broken")))).cast("long").alias("keys"),
+        F.aggregate(at, F.lit(0.0), lambda a, x: a + x["lat"]).alias("lat"),
+    )
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'saved' WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'centre' END AS place FROM orders")
+def position_defaults(spark, sf_dir):
+    key = F.col("o_orderkey")
+    saved = state.read_state(F.when(key % 3 == 0, '{"0":"saved"}').when(key % 3 == 1, '{"1":"other"}').otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", state.position_or(saved, F.lit("0"), F.when(key % 3 == 1, F.col("o_orderstatus")), F.lit("centre")).alias("place"))
+
+
+_RING_SQL = "[[s_nationkey, 10], [s_nationkey + 1 + s_suppkey % 4, 10], [s_nationkey + 1, 11], [s_nationkey, 11 + s_suppkey % 2]]"
+
+
+@query(
+    f"""WITH r AS (SELECT s_suppkey, s_name, s_suppkey % 4 AS k, {_RING_SQL} AS p FROM supplier),
+a AS (SELECT *, abs(list_sum(list_transform(range(4), lambda i: radians(p[(i + 1) % 4 + 1][1] - p[i + 1][1]) * (2 + sin(radians(p[i + 1][2])) + sin(radians(p[(i + 1) % 4 + 1][2])))))) * pow(6371000.0, 2) / 2 AS area FROM r)
+SELECT s_suppkey AS id, CASE k WHEN 0 THEN 'Polygon' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Point' END AS "type", CASE WHEN k = 0 THEN round(area / 1e6, 3) END AS km2, k < 3 AS is_valid,
+       CASE WHEN s_suppkey % 5 < 3 THEN '-- no description provided --' ELSE s_name END AS name,
+       CASE k WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS vertices FROM a"""
+)
+def drawn_features(spark, sf_dir):
+    key, at = F.col("s_suppkey"), lambda *xy: F.array(*(F.col("s_nationkey").cast("double") + xy[0], F.lit(float(xy[1])) + xy[2]))
+    points = F.array(at(0, 10, 0), at(1 + key % 4, 10, 0), at(1, 11, 0), at(0, 11, key % 2))
+    kind = F.when(key % 4 == 0, " Polygon").when(key % 4 == 1, "polyline").when(key % 4 == 2, "circleMarker").otherwise("blob")
+    name = F.when(key % 5 == 0, F.lit(None)).when(key % 5 == 1, " ").when(key % 5 == 2, "geometry description").otherwise(F.col("s_name"))
+    drawn = state.drawn_shapes(table(spark, sf_dir, "supplier").select(key.alias("id"), kind.alias("kind"), points.alias("points"), name.alias("name")))
+    numbers = F.regexp_count("coordinates", F.lit("[0-9.]+,[0-9.]+"))
+    return drawn.select("id", "type", F.round(F.col("area_m2") / 1e6, 3).alias("km2"), "is_valid", "name", F.coalesce(numbers, F.lit(0)).cast("long").alias("vertices"))
+
+
+@query("SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS crosses FROM supplier")
+def crossing_rings(spark, sf_dir):
+    """A bow tie crosses itself, a square doesn't."""
+    key = F.col("s_suppkey").cast("double")
+    corner = lambda dx, dy: F.array(key + dx, key + dy)
+    square, tie = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)), F.array(corner(0, 0), corner(1, 1), corner(1, 0), corner(0, 1))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), spatial.crosses_itself(F.when(F.col("s_suppkey") % 2 == 0, tie).otherwise(square)).alias("crosses"))
+
+
+@query("SELECT s_suppkey::DOUBLE AS lat, s_nationkey::DOUBLE AS lon, s_name AS name FROM supplier")
+def marker_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("Latitude"), F.col("s_nationkey").cast("double").alias("Longitude"), F.col("s_name").alias("Name of it"))
+    return row_markers(rows, "Latitude", "Longitude", "Name of it")
+
+
+@query("SELECT * FROM (VALUES ('#800000', 'Individual'), ('#007396', 'Agency'), ('#59315F', 'Agency and Individual Providers')) AS t(color, label)")
+def legend_rows(spark, sf_dir):
+    return io.legend(spark, {"Individual": "#800000", "Agency": "#007396", "Agency and Individual Providers": "#59315F"})
+
+
+@query("SELECT s_suppkey, 'data:text/json;charset=utf-8%7B%22name%22%3A%22' || replace(s_name, '#', '%23') || '%22%7D' AS uri FROM supplier")
+def data_uris(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", io.data_uri(F.to_json(F.struct(F.col("s_name").alias("name")))).alias("uri"))
+
+
+@query("SELECT c_custkey, '<h3>' || c_name || ' &lt;' || c_mktsegment || '&gt;</h3><strong>Birthplace: </strong>' || c_nationkey || '<br><strong>Rec Station: </strong>' || c_mktsegment || '<br><br><i>from a register</i>' AS person, '<h3>' || c_name || '</h3>Type: ' || c_mktsegment || ' ' AS kind FROM customer")
+def feature_popups(spark, sf_dir):
+    last = F.concat(F.lit("<"), F.col("c_mktsegment"), F.lit(">"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", symbols.person_popup(F.col("c_name"), last, F.col("c_nationkey"), F.col("c_mktsegment"), "from a register").alias("person"), symbols.type_popup(F.col("c_name"), F.col("c_mktsegment")).alias("kind")
+    )
+
+
+@query(f"SELECT p_partkey AS \"ID\", {_fuzzy_sql('p_name', 'gizmoo', 3)} / 6.0::double AS score, p_name || ' ' || p_brand AS result FROM part WHERE {_fuzzy_sql('p_name', 'gizmoo', 3)} <= 3 ORDER BY score, p_partkey LIMIT 10")
+def search_results(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("LNAME"), F.col("p_brand").alias("FNAME"), F.col("p_type").alias("CTYORIGN"))
+    return migration_search(lines, "Gizmoo ", symbols.result_text(F.col("LNAME"), F.col("FNAME"), F.col("CTYORIGN")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_brand ELSE p_type END AS result FROM part")
+def result_texts(spark, sf_dir):
+    last = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 0, "")
+    return table(spark, sf_dir, "part").select("p_partkey", symbols.result_text(last, F.col("p_brand"), F.col("p_type")).alias("result"))
+
+
+@query("SELECT s_suppkey AS \"ID\", '[' || s_suppkey || '.0,' || s_nationkey || '.0]' AS origin, '[' || c_custkey || '.0,' || c_nationkey || '.0]' AS goal FROM supplier JOIN customer ON s_suppkey = c_custkey")
+def layer_pairs(spark, sf_dir):
+    layer = lambda name, p, key: table(spark, sf_dir, name).select(F.col(f"{p}_{key}").alias("ID"), F.col(f"{p}_{key}").cast("double").alias("lon"), F.col(f"{p}_nationkey").cast("double").alias("lat"))
+    pairs = search.pair_layers(layer("supplier", "s", "suppkey"), layer("customer", "c", "custkey"))
+    return pairs.select("ID", F.to_json(F.get("line", 0)).alias("origin"), F.to_json(F.get("line", 1)).alias("goal"))
+
+
+@query("SELECT n_nationkey, n_regionkey::VARCHAR AS a, n_name AS b, 'x' AS c FROM nation")
+def merged_options(spark, sf_dir):
+    merged = coerce.merged(F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.col("n_name")), F.create_map(F.lit("a"), F.col("n_regionkey").cast("string")), F.create_map(F.lit("c"), F.lit("x")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", *(F.try_element_at(merged, F.lit(k)).alias(k) for k in "abc"))
+
+
+@query("SELECT o_orderkey, (SELECT min(year(o_orderdate)) FROM orders)::INTEGER AS least, (SELECT max(year(o_orderdate)) FROM orders)::INTEGER AS most FROM orders")
+def full_years(spark, sf_dir):
+    """A range's defaults are those of the data; unparsable years drop, so here none does."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("year"))
+    years = filters.full_range(orders, "year")
+    return filters.in_years(orders, "year", years).select("o_orderkey", F.lit(years.start).alias("least"), F.lit(years.end).alias("most"))
+
+
+@query("SELECT s_suppkey::DOUBLE AS lon, s_name || '!' AS popup, CASE WHEN s_nationkey % 2 = 0 THEN 'blue' ELSE 'gray' END AS color FROM supplier WHERE s_acctbal > 0 OR s_acctbal IS NULL")
+def callback_layer(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    color = lambda df: symbols.lookup((df["s_nationkey"] % 2).cast("string"), {"0": "blue"}, "gray")
+    return feature_layer(rows, keep=lambda df: (df["s_acctbal"] > 0) | df["s_acctbal"].isNull(), lon=F.col("s_suppkey").cast("double"), popup=F.concat("s_name", F.lit("!")), color=color)
+
+
+@query("SELECT p_name AS name, CAST(1900 + p_size AS INTEGER) AS year, CASE p_type WHEN 'PROMO' THEN 'red' ELSE 'gray' END AS color, '<h3>' || p_name || '</h3>Type: ' || p_type || ' ' AS popup, p_partkey::DOUBLE AS lat, p_size::DOUBLE AS lon FROM part WHERE 1900 + p_size BETWEEN 1931 AND 1940")
+def timeline(spark, sf_dir):
+    properties = F.struct(F.col("p_name").alias("name"), (F.col("p_size") + 1900).cast("int").alias("year"), F.col("p_type").alias("type"))
+    at = F.to_json(F.array(F.col("p_size").cast("double"), F.col("p_partkey").cast("double")))
+    features = table(spark, sf_dir, "part").select(properties.alias("properties"), F.struct(F.lit("Point").alias("type"), at.alias("coordinates")).alias("geometry"))
+    return timeline_map(features, filters.YearRange(1900, 1940), {"PROMO": "red"})

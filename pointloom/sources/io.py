@@ -60,8 +60,8 @@ def collection_json(features: DataFrame, feature: str, order: str) -> DataFrame:
 
 
 def data_uri(c: Column) -> Column:
-    """A text as a data URI."""
-    return F.concat(F.lit("data:text/json;charset=utf-8,"), encode_component(c))
+    """A text in the form of a data URI, without the comma that a reader of such URIs asks for: files of this form exist."""
+    return F.concat(F.lit("data:text/json;charset=utf-8"), encode_component(c))
 
 
 def legend(spark: SparkSession, entries: dict[str, str]) -> DataFrame:

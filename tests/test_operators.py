@@ -119,6 +119,21 @@ def test_places_and_rings(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 50.0, 50.0), (3, None, 1.0)], "id long, lat double, lon double")
     gaz = spark.createDataFrame([("a", "A street", 1.001, 1.0), ("b", "B street", 1.1, 1.0)], "place string, formatted_address string, lat double, lon double")
     assert [r["address"] for r in spatial.nearest_place(points, gaz, "id").orderBy("id").collect()] == ["A street", "No results found", "Geocoder failed due to: INVALID_REQUEST"]
+    rng = random.Random(6)
+    spots = [(rng.uniform(*lats), rng.uniform(*lons)) for lats, lons in [((69, 71), (10, 14)), ((-20, -19), (179, 180)), ((-20, -19), (-180, -179)), ((88, 90), (-180, 180)), ((-90, -88), (-180, 180))] for _ in range(25)] + [(90.0, 0.0), (0.0, 180.0), (0.0, -180.0), (70.5, 12.0), (70.5, 13.19)]
+    entries = [(f"p{i}", f"p{i}", y + rng.uniform(-0.3, 0.3) * (abs(y) < 89), x) for i, (y, x) in enumerate(spots)][::2]
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371000 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for reach in (30_000.0, 50_000.0, 500_000.0):
+        got = spatial.nearest_place(spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, lat double, lon double"), spark.createDataFrame(entries, gaz.schema), "id", reach)
+        for r in got.collect():
+            near = min((metres(r["lat"], r["lon"], y, x), n) for _, n, y, x in entries)
+            assert r["address"] == (near[1] if near[0] <= reach else "No results found")
+    with pytest.raises(ValueError):
+        spatial.nearest_place(points, gaz, "id", 2e7)
     rings = spark.createDataFrame([([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]],), ([[0.0, 0.0], [1.0, 1.0], [1.0, 0.0], [0.0, 1.0]],), ([[0.0, 0.0]],)], "r array<array<double>>")
     got = rings.select(spatial.ring_area_m2(F.col("r")).alias("a"), spatial.crosses_itself(F.col("r")).alias("x")).collect()
     assert got[0]["a"] == pytest.approx(1.2363e10, rel=1e-3) and [r["x"] for r in got] == [False, True, False]
@@ -135,6 +150,24 @@ def test_state(spark, tmp_path):
     assert {r["marker"]: r["value"] for r in spark.table("latest_markers").collect()} == {"0": "b", "1": "c"}
 
 
+def test_columns_that_operators_need(spark):
+    df = spark.createDataFrame([("1960", 1)], "year string, id long")
+    assert filters.full_range(df, "year") == filters.YearRange(1960, 1960, 1960, 1960)
+    assert filters.YearRange(1934, 1990, 1930, 2000, 10).start == 1930 and filters.YearRange(1, 3000).end == 2023
+    for wrong in (lambda: filters.in_years(df, "jahr", filters.YearRange(1, 3000)), lambda: filters.with_place(df, "lat", "lon"), lambda: filters.not_blank(df, "ID", "NAME"), lambda: filters.full_range(df, "y"), lambda: filters.YearRange(1990, 1980), lambda: filters.YearRange(1, 2, step=0), lambda: pipelines.row_markers(df, "lat", "lon", "name")):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(ValueError):
+        filters.full_range(df.filter("id > 1"), "year")
+
+
+def test_captions(spark):
+    from pointloom.functions import symbols
+
+    df = spark.createDataFrame([("", None, "A", 1), (None, "t", "A", 2), ("l", "t", "A", 3), (None, "", None, 4)], "label string, title string, own string, i int")
+    assert [r[0] for r in df.select(symbols.caption(F.col("label"), F.col("title"), F.col("i"), F.col("own"))).collect()] == ["Marker A", "t", "l", "Marker 4"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "p.csv").write_text('ID,NAME,,\r\n1,"two\nlines",,\r\n', newline="")
     assert io.read_csv(spark, str(tmp_path / "p.csv")).first()["NAME"] == "two\nlines"
@@ -149,4 +182,4 @@ def test_sources(spark, tmp_path):
     for df in (a, b, c):
         assert df.count() == 2 and filters.with_geometry(df).select(io.coordinates(F.col("geometry")).alias("c")).first()["c"] == [[1.5, 2.5]]
     got = pipelines.timeline_map(a, filters.YearRange(1950, 1950), {"t": "red"}).collect()
-    assert [(r["lat"], r["lon"], r["color"], r["popup"]) for r in got] == [(2.5, 1.5, "red", "é: t")]
+    assert [(r["lat"], r["lon"], r["color"], r["popup"]) for r in got] == [(2.5, 1.5, "red", "<h3>é</h3>Type: t ")]
