@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shuffle_width, stored
+from .common import mix, pack_runs, shuffle_width, stored
 from .graph import components
 
 
@@ -28,85 +29,138 @@ def centres(sample: np.ndarray, k: int, turns: int = 8) -> np.ndarray:
     return found
 
 
-def robust_prune(rows: np.ndarray, degree: int, alpha: float, near: int, far: int, seed: int = 7) -> list[np.ndarray]:
-    """Out-neighbours of every row: from its nearest rows and a few others, nearest first, a candidate
-    is dropped if a chosen one is alpha times nearer to it than the row is.
+def robust_prune(rows: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Out-neighbours of each of nodes (-1: none): of its candidates, nearest first, one is dropped if a chosen one
+    is alpha times nearer to it than the node is. cand is padded by -1; repeats and the node itself are ignored.
 
-    Blocks of rows are pruned together, so the scratch space is bounded by the block.
+    Nodes are pruned in blocks, so the scratch space is bounded by the block.
     """
-    n = len(rows)
-    rng = np.random.default_rng(seed)
-    out: list[np.ndarray] = []
-    near = min(near, n - 1)
-    if near <= 0:
-        return [np.zeros(0, np.int64)] * n
-    for a in range(0, n, 256):
-        block = rows[a : a + 256]
-        own = np.arange(a, a + len(block))
-        sims = block @ rows.T
-        sims[np.arange(len(block)), own] = -2
-        close = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-        cand = np.concatenate((close, rng.integers(0, n, (len(block), far))), axis=1)
-        to_row = np.take_along_axis(sims, cand, axis=1)
-        order = np.argsort(-to_row, axis=1)
-        cand, to_row = np.take_along_axis(cand, order, axis=1), np.take_along_axis(to_row, order, axis=1)
-        vectors = rows[cand]
-        between = 1 - np.matmul(vectors, vectors.transpose(0, 2, 1))
-        distance = 1 - to_row
-        alive = cand != own[:, None]
-        chosen = np.zeros_like(alive)
-        for j in range(cand.shape[1]):
-            take = alive[:, j] & (chosen.sum(axis=1) < degree)
-            chosen[:, j] = take
-            alive &= ~(take[:, None] & (alpha * between[:, j] <= distance))
-        out += [cand[i][chosen[i]] for i in range(len(block))]
+    out = np.full((len(nodes), degree), -1, np.int64)
+    step = max(1, 8_000_000 // (cand.shape[1] * max(cand.shape[1], rows.shape[1]) + 1))
+    for a in range(0, len(nodes), step):
+        own, some = nodes[a : a + step], np.sort(cand[a : a + step], axis=1)
+        alive = (some >= 0) & (some != own[:, None])
+        alive[:, 1:] &= some[:, 1:] != some[:, :-1]
+        vectors = rows[some]
+        near = np.where(alive, (vectors @ rows[own][:, :, None])[:, :, 0], -3.0)
+        order = np.argsort(-near, axis=1)
+        some, alive, near = (np.take_along_axis(x, order, axis=1) for x in (some, alive, near))
+        vectors = np.take_along_axis(vectors, order[:, :, None], axis=1)
+        between, distance = 1 - np.matmul(vectors, vectors.transpose(0, 2, 1)), 1 - near
+        count = np.zeros(len(own), np.int64)
+        for j in range(some.shape[1]):
+            take = np.flatnonzero(alive[:, j] & (count < degree))
+            if not len(take) and not (alive[:, j:].any(axis=1) & (count < degree)).any():
+                break
+            out[a + take, count[take]] = some[take, j]
+            count[take] += 1
+            alive[take] &= alpha * between[take, j] > distance[take]
     return out
 
 
-def both_ways(out: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The lists and their reverse edges as offsets and targets."""
-    source = np.repeat(np.arange(n), [len(x) for x in out])
-    target = np.concatenate(out) if out else np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate((source * n + target, target * n + source)))
-    return np.searchsorted(pairs // n, np.arange(n + 1)), pairs % n
-
-
-class Searcher:
-    """Greedy search from the medoid, then expansion over all nodes in range."""
-
-    def __init__(self, rows: np.ndarray, offsets: np.ndarray, targets: np.ndarray):
-        self.rows, self.offsets, self.targets = rows, offsets, targets
-        self.medoid = int((rows @ rows.mean(axis=0)).argmax())
-
-    def _next(self, nodes: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        parts = [self.targets[self.offsets[i] : self.offsets[i + 1]] for i in nodes.tolist()]
-        found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        found = found[~seen[found]]
-        seen[found] = True
-        return found
-
-    def in_range(self, query: np.ndarray, least: float, slack: float, beam: int) -> np.ndarray:
-        """Nodes found with a similarity of least or more; nodes down to least - slack are expanded too."""
-        seen = np.zeros(len(self.rows), bool)
-        ids = np.array([self.medoid])
-        seen[ids] = True
-        sims = self.rows[ids] @ query
-        open_ = np.ones(1, bool)
-        while True:
-            best = np.argsort(-sims)[:beam]
-            front = best[open_[best]][:8]
-            if not len(front):
+def greedy_search(rows: np.ndarray, lists: np.ndarray, start: int, queries: np.ndarray, beam: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the nodes that a greedy search from start meets, as a mask over all rows; block by block,
+    with the similarities of the nodes met (-2 for others).
+
+    Each turn expands the nearest open node of every query among the beam nearest ones it knows.
+    """
+    for a in range(0, len(queries), block):
+        own = queries[a : a + block]
+        n = len(own)
+        sims = np.full((n, len(rows)), -2.0, np.float32)
+        sims[:, start] = own @ rows[start]
+        open_ = np.zeros((n, len(rows)), bool)
+        open_[:, start] = True
+        best = np.full((n, beam), -1, np.int64)  # the beam nearest nodes known
+        best[:, 0] = start
+        active = np.arange(n)
+        while len(active):
+            front = best[active]
+            worth = np.where((front >= 0) & open_[active[:, None], front], sims[active[:, None], front], -3.0)
+            pick = worth.argmax(axis=1)
+            going = worth[np.arange(len(active)), pick] > -3
+            active, front, pick = active[going], front[going], pick[going]
+            if not len(active):
                 break
-            open_[front] = False
-            new = self._next(ids[front], seen)
-            ids, sims, open_ = np.concatenate((ids, new)), np.concatenate((sims, self.rows[new] @ query)), np.concatenate((open_, np.ones(len(new), bool)))
+            node = front[np.arange(len(active)), pick]
+            open_[active, node] = False
+            new = lists[node]
+            fresh = (new >= 0) & (sims[active[:, None], new] == -2)
+            found = np.where(fresh, np.einsum("qkd,qd->qk", rows[new], own[active]), -3.0).astype(np.float32)
+            q, k = np.nonzero(fresh)
+            sims[active[q], new[q, k]] = found[q, k]
+            open_[active[q], new[q, k]] = True
+            ids = np.concatenate((front, np.where(fresh, new, -1)), axis=1)
+            value = np.concatenate((np.where(front >= 0, sims[active[:, None], front], -3.0), found), axis=1)
+            best[active] = np.take_along_axis(ids, np.argpartition(-value, beam - 1, axis=1)[:, :beam], axis=1)
+        yield sims, open_
+
+
+def medoid(rows: np.ndarray) -> int:
+    return int((rows @ rows.mean(axis=0)).argmax())
+
+
+def build_graph(rows: np.ndarray, degree: int, alpha: float, beam: int, seed: int = 7) -> np.ndarray:
+    """Out-neighbours of every row (-1: none), by inserting the rows in a random order, in batches that double up
+    to 128: each searches the graph so far from the medoid, prunes what it met, and its neighbours prune in turn.
+
+    Only rows that a search meets are compared; no row meets all others.
+    """
+    n = len(rows)
+    lists = np.full((n, degree), -1, np.int64)
+    if n < 2:
+        return lists
+    start = medoid(rows)
+    order = np.random.default_rng(seed).permutation(n)
+    order = order[order != start]
+    done = 0
+    while done < len(order):
+        batch = order[done : done + max(1, min(128, done))]
+        done += len(batch)
+        cand = np.full((len(batch), 4 * degree), -1, np.int64)
+        at = 0
+        for sims, _ in greedy_search(rows, lists, start, rows[batch], beam):
+            keep = min(cand.shape[1], sims.shape[1])
+            near = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+            cand[at : at + len(sims), :keep] = np.where(np.take_along_axis(sims, near, axis=1) > -2, near, -1)
+            at += len(sims)
+        lists[batch] = robust_prune(rows, batch, cand, degree, alpha)
+        source, target = np.repeat(batch, degree), lists[batch].ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        turn = np.argsort(target, kind="stable")
+        source, target = source[turn], target[turn]
+        first, end = pack_runs(target)
+        incoming = np.full((len(first), int((end - first).max(initial=0))), -1, np.int64)
+        incoming[np.repeat(np.arange(len(first)), end - first), np.arange(len(target)) - np.repeat(first, end - first)] = source
+        touched = target[first]
+        lists[touched] = robust_prune(rows, touched, np.concatenate((lists[touched], incoming), axis=1), degree, alpha)
+    return lists
+
+
+def in_range(rows: np.ndarray, lists: np.ndarray, least: float, slack: float, beam: int) -> list[np.ndarray]:
+    """For every row the other rows found with a similarity of least or more: greedy search from the medoid, then
+    expansion over all nodes in range; nodes down to least - slack are expanded too."""
+    out = []
+    for sims, open_ in greedy_search(rows, lists, medoid(rows), rows, beam):
+        at = len(out)
         while True:
-            front = np.flatnonzero(open_ & (sims >= least - slack))
-            if not len(front):
-                return ids[sims >= least - 1e-9]  # the caller verifies
-            open_[front] = False
-            new = self._next(ids[front], seen)
-            ids, sims, open_ = np.concatenate((ids, new)), np.concatenate((sims, self.rows[new] @ query)), np.concatenate((open_, np.ones(len(new), bool)))
+            q, node = np.nonzero(open_ & (sims >= least - slack))
+            if not len(q):
+                break
+            open_[q, node] = False
+            new = lists[node]
+            q = np.repeat(q, new.shape[1])[new.ravel() >= 0]
+            new = new.ravel()[new.ravel() >= 0]
+            fresh = np.unique(q[sims[q, new] == -2] * len(rows) + new[sims[q, new] == -2])
+            q, new = fresh // len(rows), fresh % len(rows)
+            for a in range(0, len(q), 100_000):
+                sims[q[a : a + 100_000], new[a : a + 100_000]] = (rows[new[a : a + 100_000]] * rows[at + q[a : a + 100_000]]).sum(axis=1)
+            open_[q, new] = True
+        for i, row in enumerate(sims):
+            found = np.flatnonzero(row >= least - 1e-5)
+            found = found[found != at + i]
+            out.append(found[(rows[found] * rows[at + i]).sum(axis=1) >= least])  # in double precision
+    return out
 
 
 def _matrix(column) -> np.ndarray:
@@ -123,7 +177,6 @@ def near_duplicates(
     vector_col: str = "embedding",
     least: float = 0.95,
     shard_size: int = 1500,
-    most_shards: int = 4096,
     overlap: int = 2,
     degree: int = 32,
     alpha: float = 1.2,
@@ -131,49 +184,52 @@ def near_duplicates(
     slack: float = 0.03,
     sample: int = 20_000,
     audit_queries: int = 200,
+    audit_links: int = 100,
+    most_audited: int = 20_000,
     recall: float = 0.98,
     seed: int = 11,
 ) -> DataFrame:
-    """Link vectors whose cosine is least or more; a row per input row: id, n_links, component_id, kept.
+    """Link vectors whose cosine is least or more; a row per input row: id, n_links, component_id, kept, recall.
 
     Vectors that are null, empty, zero, or hold null or non-finite values link with
-    nothing, as do vectors of another length than the most frequent one. Rows with a null
-    id are measured, have component_id null unless linked, and are never kept. Equal
-    vectors are one node with a weight. Other columns are ignored.
-
-    Centres come from k-means on at most sample vectors. Every vector goes to its overlap
-    nearest centres; each such shard gives a robust-pruned graph. The lists that a vector
-    has in its shards are joined. Then every vector is searched for in each of its shards,
-    from the shard's medoid over the joined lists, and what is in range is verified in
-    double precision. audit_queries vectors are compared with brute force against all
-    rows; if less than recall of their links was found, it is done again with one more
-    shard for each vector.
+    nothing; vectors of different lengths don't link. Rows with a null id are measured,
+    have component_id null unless linked, and are never kept. Equal vectors are one node
+    with a weight. Other columns are ignored.
+
+    Vectors of a length are cut into clusters of about shard_size by k-means, a tree of it
+    where they are many: centres come from at most sample vectors of a cluster, and a cluster that is
+    still too large is cut again. At every cut a vector goes to its overlap nearest
+    centres, so shards overlap. Each shard gives a robust-pruned graph (build_graph), and the lists that a vector
+    has in its shards are united. Then every vector is searched for in each of its shards,
+    from the shard's medoid over the united lists, and what is in range is verified in
+    double precision.
+
+    The audit compares vectors drawn by a hash with brute force against all rows: first
+    audit_queries of them, then as many again and again, until audit_links links were
+    met, all vectors or most_audited were audited. recall is the mean share of links found,
+    over the audited vectors that have links (null if none has); below the wanted recall it
+    is all done again with one more shard for each vector.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     all_rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id_"), F.col(f"`{vector_col}`").cast("array<double>").alias("v_"))
     norm = F.aggregate("v_", F.lit(0.0), lambda a, x: a + x * x)
     good = all_rows.filter(F.col("v_").isNotNull() & (F.size("v_") > 0) & ~F.exists("v_", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter((norm > 0) & (norm < float("inf")))
-    lengths = good.groupBy(F.size("v_").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return all_rows.select(F.col("id_").cast(kind).alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id_").cast(kind).alias("component_id"), F.col("id_").isNotNull().alias("kept"))
-    good = good.filter(F.size("v_") == lengths["n"])
     nodes = good.groupBy("v_").agg(F.min("id_").alias("id"), F.count("*").alias("weight"))
     nodes = stored(nodes.withColumn("node", F.coalesce("id", F.xxhash64("v_"))), "nodes")
-    n = nodes.count()
-    k = max(1, min(most_shards, -(-n // shard_size)))
-    picked = nodes.select("v_").orderBy(F.xxhash64("v_", F.lit(seed)), "v_").limit(sample).toPandas()  # bounded by sample
-    middle = centres(unit(np.array(picked["v_"].tolist(), float)), min(k, len(picked)))
-    probe = nodes.select("node", "v_").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(audit_queries).toPandas()
-
-    truth: dict[int, int] = {}
+    lengths = {r["n"]: r["count"] for r in nodes.groupBy(F.size("v_").alias("n")).count().filter("count > 1").collect()}  # a row for each length
+    truth = Audit(nodes, least, seed, audit_queries, audit_links, most_audited)
     while True:
-        found = _links(spark, nodes, middle, overlap, least, degree, alpha, beam, slack)
-        if not truth:
-            truth = _true_links(nodes, probe["node"].to_numpy(), unit(np.array(probe["v_"].tolist(), float)), least)
-        ours = {r["node"]: r["n"] for r in found.filter(F.col("node").isin(probe["node"].tolist())).select("node", F.col("n_links").alias("n")).collect()}
-        total = sum(truth.values())
-        if overlap >= len(middle) or sum(min(ours.get(q, 0), t) for q, t in truth.items()) >= recall * total:
+        found, most_shards = None, 1
+        for length, n in sorted(lengths.items()):
+            own = nodes.filter(F.size("v_") == length).select("node", "weight", "v_")
+            member, shards = _shards(own, n, shard_size, sample, overlap, seed)
+            links = _links(spark, member, least, degree, alpha, beam, slack)
+            found, most_shards = links if found is None else found.unionByName(links), max(most_shards, shards)
+        if found is None:
+            found = spark.createDataFrame([], "node bigint, n_links bigint, ends array<bigint>")
+        measured = truth.recall(found)
+        if measured is None or measured >= recall or overlap >= most_shards:
             break
         overlap += 1
     labels = components(found.select("node", F.explode("ends").alias("end")))
@@ -188,49 +244,86 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.cast(kind).alias("component_id"),
         F.coalesce(F.col("id_") == component, F.lit(False)).alias("kept"),
+        F.lit(measured).cast("double").alias("recall"),
     )
 
 
-def _links(spark, nodes: DataFrame, middle: np.ndarray, overlap: int, least: float, degree: int, alpha: float, beam: int, slack: float) -> DataFrame:
-    """(node, n_links: weight of the other nodes linked with it, ends: nodes that connect its component)."""
-    overlap = min(overlap, len(middle))
+_MEMBER = "shard bigint, node bigint, weight bigint, v_ array<double>"
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = unit(_matrix(batch.column(2)))
-            nearest = np.argsort(-(rows @ middle.T), axis=1)[:, :overlap] if len(rows) else np.zeros((0, overlap), int)
-            at = np.repeat(np.arange(len(rows)), overlap)
-            yield pa.RecordBatch.from_arrays([pa.array(nearest.ravel().astype(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], ["shard", "node", "weight", "v"])
 
-    member = stored(nodes.select("node", "weight", "v_").mapInArrow(assign, "shard bigint, node bigint, weight bigint, v array<double>"), "members")
+def _shards(nodes: DataFrame, n: int, shard_size: int, sample: int, overlap: int, seed: int, widest: int = 256) -> tuple[DataFrame, int]:
+    """Rows (shard, node, weight, v_), overlap or more of each node, and in how many centres the first cut was made.
+
+    A turn cuts every cluster of more than twice shard_size by its own centres, at most
+    widest of them from at most sample of its vectors, which are as many numbers whatever the input. A
+    cluster that a turn doesn't make smaller (vectors all alike) is left as it is.
+    """
+    spark = nodes.sparkSession
+    todo, ready, first = stored(nodes.withColumn("shard", F.lit(0).cast("long")).withColumn("parent", F.lit(2**62)), "members"), [], 1
+    while True:
+        sizes = todo.groupBy("shard").agg(F.count("*").alias("many"), F.min("parent").alias("parent"))
+        sizes = stored(sizes.withColumn("cut", (F.col("many") > 2 * shard_size) & (F.col("many") < 0.9 * F.col("parent"))), "sizes")
+        large = sizes.filter("cut").select("shard", "many")
+        ready.append(todo.join(sizes.filter("not cut").select("shard"), "shard").select("shard", "node", "weight", "v_"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, ready), first
+        rows = stored(todo.drop("parent").join(large, "shard"), "large")
+
+        def cut(table: pa.Table) -> pa.Table:
+            found = unit(_matrix(table.column("v_")))
+            k = min(widest, len(found), -(-table.column("many")[0].as_py() // shard_size))
+            middle = centres(found[np.argsort(table.column("node").to_numpy())], k)
+            return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "centres": pa.array([middle.astype("<f8").tobytes()], pa.binary())})
+
+        drawn = rows.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("many")) < F.lit(sample))  # about sample of each cluster
+        middle = stored(drawn.select("shard", "node", "v_", "many").groupBy("shard").applyInArrow(cut, "shard bigint, centres binary"), "centres")
+        first = max(first, -(-n // shard_size)) if first == 1 else first
+
+        def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left):
+                return _member_rows(left, np.zeros(0, int), np.zeros(0, np.int64))
+            vectors = unit(_matrix(left.column("v_")))
+            if not len(right):  # no vector was drawn
+                return _member_rows(left, np.arange(len(left)), left.column("shard").to_numpy())
+            own = np.frombuffer(right.column("centres")[0].as_py(), "<f8").reshape(-1, vectors.shape[1])
+            near = np.argsort(-(vectors @ own.T), axis=1)[:, : min(overlap, len(own))]
+            shard = left.column("shard")[0].as_py()
+            return _member_rows(left, np.repeat(np.arange(len(left)), near.shape[1]), mix(np.uint64(shard % 2**64) + near.ravel().astype(np.uint64) + np.uint64(1)).view(np.int64))
+
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("many") / 20_000)))
+        salts = middle.join(large, "shard").select("shard", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("many") / 20_000) - 1)).alias("salt"))
+        left = salted.select("shard", "salt", "node", "weight", "v_", "many")
+        dealt = left.groupBy("shard", "salt").cogroup(salts.select("shard", "salt", "centres").groupBy("shard", "salt")).applyInArrow(assign, _MEMBER + ", parent bigint")
+        todo = stored(dealt.dropDuplicates(["shard", "node"]), "members")
+
+
+def _member_rows(table: pa.Table, at: np.ndarray, shards: np.ndarray) -> pa.Table:
+    rows = table.take(pa.array(at, pa.int64()))
+    return pa.table([pa.array(shards, pa.int64()), rows.column("node"), rows.column("weight"), rows.column("v_"), rows.column("many")], names=["shard", "node", "weight", "v_", "parent"])
+
+
+def _links(spark, member: DataFrame, least: float, degree: int, alpha: float, beam: int, slack: float) -> DataFrame:
+    """(node, n_links: weight of the other nodes linked with it, ends: nodes that connect its component)."""
+    member = stored(member, "members")
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
-        lists = robust_prune(unit(_matrix(table.column("v"))), degree, alpha, near=64, far=8)
-        return pa.table({"node": pa.array(ids), "near": pa.array([ids[x].tolist() for x in lists], pa.list_(pa.int64()))})
+        lists = build_graph(unit(_matrix(table.column("v_"))), degree, alpha, beam)
+        return pa.table({"node": pa.array(ids), "near": pa.array([ids[x[x >= 0]].tolist() for x in lists], pa.list_(pa.int64()))})
 
     lists = member.groupBy("shard").applyInArrow(build, "node bigint, near array<bigint>")
     lists = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # one list from each of its shards
 
     def search(table: pa.Table) -> pa.Table:
         ids, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        rows = unit(_matrix(table.column("v")))
+        rows = unit(_matrix(table.column("v_")))
         order = np.argsort(ids)
-        lists_ = []
-        for near in table.column("near").to_pylist():
-            near = np.array(near or [], np.int64)
-            at = np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)
-            at = order[at]
-            lists_.append(at[ids[at] == near])
-        searcher = Searcher(rows, *both_ways(lists_, len(ids)))
-        found = []
-        for i in range(len(ids)):
-            got = searcher.in_range(rows[i], least, slack, beam)
-            got = got[got != i]
-            if len(got):
-                exact = (rows[got] * rows[i]).sum(axis=1)
-                got = got[exact >= least]
-            found.append(got)
+        near = [np.array(x or [], np.int64) for x in table.column("near").to_pylist()]
+        flat = np.concatenate(near)
+        at = order[np.minimum(np.searchsorted(ids[order], flat), len(ids) - 1)]
+        owner = np.repeat(np.arange(len(ids)), [len(x) for x in near])
+        here = ids[at] == flat
+        found = in_range(rows, _both_ways(owner[here], at[here], len(ids)), least, slack, beam)
         # a link is found from both ends or from one: take both
         source = np.repeat(np.arange(len(ids)), [len(x) for x in found])
         target = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -252,7 +345,7 @@ def _links(spark, nodes: DataFrame, middle: np.ndarray, overlap: int, least: flo
             }
         )
 
-    joined = member.join(lists, "node").select("shard", "node", "weight", "v", "near")
+    joined = member.join(lists, "node").select("shard", "node", "weight", "v_", "near")
     found = joined.groupBy("shard").applyInArrow(search, "node bigint, end bigint, others binary, weights binary")
     groups = shuffle_width(spark)
 
@@ -273,18 +366,66 @@ def _links(spark, nodes: DataFrame, middle: np.ndarray, overlap: int, least: flo
     return stored(keyed.groupBy("key").applyInArrow(merge, "node bigint, n_links bigint, ends array<bigint>"), "links")
 
 
-def _true_links(nodes: DataFrame, queries: np.ndarray, rows: np.ndarray, least: float) -> dict[int, int]:
-    """Brute force: the weight of the other nodes in range of each of a bounded number of queries."""
+def _both_ways(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+    """The lists and their reverse edges as rows of targets, padded by -1."""
+    pairs = np.unique(np.concatenate((source * n + target, target * n + source)))
+    owner, other = pairs // n, pairs % n
+    sizes = np.bincount(owner, minlength=n)
+    out = np.full((n, max(1, int(sizes.max(initial=0)))), -1, np.int64)
+    out[owner, np.arange(len(pairs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = other
+    return out
+
+
+class Audit:
+    """Vectors drawn by a hash, and how many links each really has, by brute force."""
+
+    def __init__(self, nodes: DataFrame, least: float, seed: int, step: int, links: int, most: int):
+        self.truth: dict[int, int] = {}
+        order = [F.xxhash64("node", F.lit(seed)), F.col("node")]
+        drawn = nodes.select("node", "v_", order[0].alias("h")).orderBy("h", "node").limit(most)  # at most most rows
+        drawn = stored(drawn, "audit")
+        size, last = step, None
+        while True:
+            part = drawn if last is None else drawn.filter((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
+            part = part.orderBy("h", "node").limit(size).collect()  # at most most rows in all
+            if not part:
+                break
+            last, size = (part[-1]["h"], part[-1]["node"]), 2 * size
+            self.truth |= _true_links(nodes, part, least)
+            if sum(self.truth.values()) >= links:
+                break
+
+    def recall(self, found: DataFrame) -> float | None:
+        """The mean share of the links found, over audited vectors that have any."""
+        linked = {q: t for q, t in self.truth.items() if t}
+        if not linked:
+            return None
+        ours = {r["node"]: r["n_links"] for r in found.filter(F.col("node").isin(list(linked))).select("node", "n_links").collect()}
+        return float(np.mean([min(ours.get(q, 0), t) / t for q, t in linked.items()]))
+
+
+def _true_links(nodes: DataFrame, probes: list, least: float) -> dict[int, int]:
+    """The weight of the other nodes in range of each of a bounded number of probes."""
+    queries = np.array([r["node"] for r in probes], np.int64)
+    of_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    sizes = np.array([len(r["v_"]) for r in probes])
+    for n in set(sizes.tolist()):
+        at = np.flatnonzero(sizes == n)
+        of_length[n] = at, unit(np.array([probes[i]["v_"] for i in at], float))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(queries), np.int64)
         for batch in batches:
-            all_ = unit(_matrix(batch.column(2)))
-            if len(all_):
-                ids, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                hit = (rows @ all_.T >= least) & (queries[:, None] != ids[None])
-                sums += hit @ weight
+            lengths = batch.column(3).to_numpy()
+            for n in set(lengths.tolist()) & set(of_length):
+                part = batch.filter(pa.array(lengths == n))
+                at, rows = of_length[n]
+                all_ = unit(_matrix(part.column(2)))
+                ids, weight = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for a in range(0, len(at), 1000):
+                    own = at[a : a + 1000]
+                    sums[own] += ((rows[a : a + 1000] @ all_.T >= least) & (queries[own][:, None] != ids[None])) @ weight
         yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(sums)], ["node", "n"])
 
-    found = nodes.select("node", "weight", "v_").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    found = nodes.select("node", "weight", "v_", F.size("v_").alias("n")).mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
     return {r["node"]: r["n"] for r in found.collect()}

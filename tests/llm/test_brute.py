@@ -17,7 +17,7 @@ from pointloom.llm.bpe import Codec, read_ranks
 from pointloom.llm.jaccard import jaccard_components, link_cluster
 from pointloom.llm import media
 from pointloom.llm.media import AudioFeatures, Polyphase, audio_columns, audio_report, hysteresis, load_wav, low_pass, pad_payload, read_tensors, store_wav
-from pointloom.llm.neighbors import near_duplicates
+from pointloom.llm.neighbors import build_graph, in_range, near_duplicates
 from pointloom.llm.packing import column_generation, make_plan
 from pointloom.llm.secrets import ALLOWED, KINDS, redact, secret_report
 from pointloom.llm.secrets_sql import secret_report_sql
@@ -300,14 +300,38 @@ def test_link_cluster_is_exact():
 
 def test_vectors(spark):
     rng = np.random.default_rng(5)
-    centre = rng.normal(size=(40, 16))
-    rows = np.concatenate([c + rng.normal(size=(12, 16)) * s for c, s in zip(centre, np.linspace(0.02, 0.4, 40))]).astype(np.float32)
+    rows = []
+    for size in (16, 5):
+        centre = rng.normal(size=(40, size))
+        rows += [(c + rng.normal(size=size) * s).astype(np.float32) for c, s in zip(centre, np.linspace(0.02, 0.4, 40)) for _ in range(12)]
+    rows += [np.zeros(0, np.float32), np.ones(3, np.float32), np.full(3, 2, np.float32), np.ones(3, np.float32)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r for r in near_duplicates(df, shard_size=100).collect()}
-    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
-    near = (unit @ unit.T >= 0.95) & ~np.eye(len(rows), dtype=bool)
+    got = {r["vec_id"]: r for r in near_duplicates(df, shard_size=60).collect()}
+    near = np.zeros((len(rows), len(rows)), bool)
+    for size in (16, 5, 3):
+        own = [i for i, v in enumerate(rows) if len(v) == size]
+        unit = np.array([rows[i] for i in own], float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        near[np.ix_(own, own)] = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
     found = np.array([got[i]["n_links"] for i in range(len(rows))])
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
+    assert (got[len(rows) - 1]["n_links"], got[len(rows) - 1]["component_id"]) == (2, len(rows) - 3)
+    assert got[0]["recall"] > 0.95
+    if found.sum() == near.sum():
+        want = components_of(dict(enumerate(range(len(rows)))), lambda a, b: near[a, b])
+        assert {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_graph_search_finds_what_brute_force_finds():
+    rng = np.random.default_rng(6)
+    rows = np.repeat(rng.normal(size=(60, 24)), 10, axis=0) + rng.normal(size=(600, 24)) * 0.15
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    lists = build_graph(rows, 16, 1.2, 32)
+    assert (lists >= 0).any(axis=1).sum() >= len(rows) - 1 and ((lists == -1) | (lists != np.arange(600)[:, None])).all()
+    found = in_range(rows, lists, 0.95, 0.03, 32)
+    near = [np.flatnonzero((rows @ r >= 0.95) & (np.arange(600) != i)) for i, r in enumerate(rows)]
+    assert all(set(f) <= set(n) for f, n in zip(found, near)) and sum(map(len, found)) >= 0.95 * sum(map(len, near))
 
 
 ASSIGN = re.compile(r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
