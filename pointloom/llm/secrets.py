@@ -6,6 +6,8 @@ from math import log2
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free_name
+
 # Fixed values of the rules, in the order in which spans of one start are listed.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -30,6 +32,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(items: Column, weight, join, zero: Column, emit) -> Column:
+    """emit(item, state) for every item, where state joins zero and the weights of all items before; items isn't empty.
+
+    The items are cut into about as many blocks as a block has items, so the work is items
+    times their root, not their square.
+    """
+    total = lambda part, first: F.aggregate(part, first, lambda acc, x: join(acc, weight(x)))
+
+    def of_blocks(blocks: Column, sums: Column) -> Column:
+        def block(part: Column, b: Column) -> Column:
+            first = F.aggregate(F.slice(sums, 1, b), zero, lambda acc, x: join(acc, x))
+            return let(first, lambda start: F.transform(part, lambda x, i: emit(x, total(F.slice(part, 1, i), start))))
+
+        return F.flatten(F.transform(blocks, block))
+
+    def cut(whole: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(whole) - 1) / size).cast("int")), lambda b: F.slice(whole, b * size + 1, size))
+        return let(blocks, lambda parts: let(F.transform(parts, lambda part: total(part, zero)), lambda sums: of_blocks(parts, sums)))
+
+    return let(items, lambda whole: let(F.ceil(F.sqrt(F.size(whole))).cast("int"), lambda size: cut(whole, size)))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their places: array of (start, end, hit, value), start and end in code points.
 
@@ -39,19 +63,13 @@ def matches(text: Column, pattern: str) -> Column:
     each = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")
     )
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string,value:string>>")
-    folded = F.aggregate(
-        F.filter(each, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: let(
-            acc["at"] + F.length(x["gap"]),
-            lambda start: F.struct(
-                (start + F.length(x["hit"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["value"].alias("value")))).alias("out"),
-            ),
-        ),
-    )
-    return F.when(text.rlike(pattern), folded["out"]).otherwise(empty)
+
+    def placed(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["value"].alias("value"))
+
+    found = scan(F.filter(each, lambda x: x["hit"].isNotNull()), lambda x: F.length(x["gap"]) + F.length(x["hit"]), lambda a, b: a + b, F.lit(0), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,value:string>>"))
 
 
 def spans_of(found: Column, kind: str) -> Column:
@@ -150,27 +168,31 @@ def find_secrets(docs: DataFrame, text_col: str = "text", window: int = 20, hex_
     base = F.array_sort(F.concat(spans_of(assign, "assign"), spans_of(matches(text, ACCESS), "access"), spans_of(matches(text, HEX), "hex")))
     dense = entropy_spans(matches(text, CANDIDATE), window, hex_bits, base64_bits)
 
-    def joined(rules: Column) -> Column:
-        added = F.filter(dense, lambda d: ~F.exists(rules, lambda r: (r["start"] <= d["start"]) & (r["end"] >= d["end"])))
-        return F.array_sort(F.concat(rules, added))
+    def uncovered(spans: Column) -> Column:
+        """Without dense spans that end within a rule's span that starts no later."""
+        is_rule = lambda x: x["kind"] < KINDS.index("entropy_hex")
+        told = lambda x, reach: F.struct(x.alias("span"), (is_rule(x) | (x["end"] > reach)).alias("stays"))
+        seen = scan(spans, lambda x: F.when(is_rule(x), x["end"]).otherwise(0), F.greatest, F.lit(0), told)
+        return F.when(F.size(spans) > 0, F.transform(F.filter(seen, lambda x: x["stays"]), lambda x: x["span"])).otherwise(spans)
 
-    return docs.withColumn(out, let(base, joined).cast(_SPAN))
+    return docs.withColumn(out, let(F.array_sort(F.concat(base, dense)), uncovered).cast(_SPAN))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", **settings) -> DataFrame:
     """docs with every span of find_secrets replaced by mark, spans that overlap by one mark. Null text stays null."""
-    text, spans = F.col(f"`{text_col}`").cast("string"), F.col("secret_spans__")
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when((x["start"] < acc["at"]) & (acc["at"] > 0), acc["text"]).otherwise(F.concat(acc["text"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).alias("text"),
-        ),
-        lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    found = find_secrets(docs, text_col, out="secret_spans__", **settings)
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, folded).otherwise(text)).drop("secret_spans__")
+    spans_col = free_name(docs, "secret_spans")
+    text, spans = F.col(f"`{text_col}`").cast("string"), F.col(spans_col)
+
+    def part(x: Column, reach: Column) -> Column:
+        """What stands between the spans before and this one, with the mark; nothing if they overlap."""
+        joins = (x["start"] < reach) & (reach > 0)
+        return F.when(joins, "").otherwise(F.concat(F.substring(text, reach + 1, x["start"] - reach), F.lit(mark)))
+
+    parts = scan(spans, lambda x: x["end"], F.greatest, F.lit(0), part)
+    end = F.array_max(F.transform(spans, lambda x: x["end"]))
+    clean = F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
+    found = find_secrets(docs, text_col, out=spans_col, **settings)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans_col)
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
