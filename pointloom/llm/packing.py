@@ -75,9 +75,10 @@ def column_generation(demand: dict[int, int], size: int, rounds: int = 600, gap:
     The linear program has a row for each length below size that occurs (size - 1 at most,
     however many documents there are). It starts from one pattern
     for each length; the simplex method takes in first full_patterns, then what
-    best_pattern finds when it prices columns by the duals. It ends when no column improves, when the tokens or Farley's bound show that the rest of
-    the way is at most gap of the sequences, or after rounds priced
-    columns; the result is valid at any time.
+    best_pattern finds when it prices columns by the duals. It ends when pricing shows that
+    no column improves, or by Farley's bound that the rest of the way is at most gap of the
+    sequences. rounds bounds the priced columns: the result is valid at any time, and what
+    its patterns don't hold is packed too (make_plan).
     """
     lengths = np.array(sorted(n for n, d in demand.items() if d > 0 and 0 < n < size), np.int64)
     m = len(lengths)
@@ -93,10 +94,9 @@ def column_generation(demand: dict[int, int], size: int, rounds: int = 600, gap:
     for j, pattern in enumerate(full_patterns(lengths.tolist(), d, size)):
         for n, c in pattern.items():
             ready[at[n], j] = c
-    least = float(lengths @ d) / size
     priced = 0
     for turn in range(3 * m + rounds):
-        if x.sum() <= least * (1 + gap) or priced >= rounds:
+        if priced >= rounds:
             break
         if turn and turn % 400 == 0:  # take away rounding errors
             inverse = np.linalg.inv(matrix)
@@ -111,7 +111,7 @@ def column_generation(demand: dict[int, int], size: int, rounds: int = 600, gap:
             worth[lengths] = duals
             value, pattern = best_pattern(worth, size)
             priced += 1
-            if value <= 1 + 1e-9 or 1 - 1 / value <= gap:
+            if value <= 1 + 1e-9 or 1 - 1 / value <= gap:  # Farley: x.sum() / value is a lower bound
                 break
             entering = pattern[lengths].astype(float)
         change = inverse @ entering
