@@ -258,7 +258,7 @@ def fit(
     """Character counts over all documents; the word model on at most sample labelled rows that are not held out.
 
     The sample takes the least hashes of ids; rows with null labels or ids are no rows of
-    it. Features need to be in least toxic documents of the sample. Weights are smoothed
+    it; of several texts of one id the last in order counts, of several labels the greatest. Features need to be in least toxic documents of the sample. Weights are smoothed
     log odds of a document holding the feature; the logistic model over a document's
     greatest weights is fitted on weights that leave the document itself out.
     """
@@ -266,7 +266,9 @@ def fit(
     good = labels.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{label_col}`").cast("int").alias("y_")).filter(F.col("id_").isNotNull() & F.col("y_").isNotNull() & ~held_out("id_"))
     chosen = good.groupBy("id_").agg(F.max("y_").alias("y_")).orderBy(F.xxhash64("id_"), "id_").limit(sample)
     own = docs.select(F.col(f"`{id_col}`").alias("id_"), F.col(f"`{text_col}`").cast("string").alias("text_"))
-    rows = stored(own.join(F.broadcast(stored(chosen, "sample")), "id_"), "training")  # at most sample rows are broadcast
+    # at most sample rows are broadcast; of rows of one id, one is learned from
+    met = own.join(F.broadcast(stored(chosen, "sample")), "id_").groupBy("id_").agg(F.max("text_").alias("text_"), F.max("y_").alias("y_"))
+    rows = stored(met.drop("id_"), "training")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Scorer(model)
@@ -304,7 +306,7 @@ def fit(
                 out.append(summary(_by_word(left_out)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["y", "view"])
 
-    seen = features.mapInArrow(views, "y int, view array<double>").collect()  # at most sample rows of five numbers
+    seen = features.mapInArrow(views, "y int, view array<double>").collect()  # at most sample rows of five numbers: one an id
     x = np.array([r["view"] for r in seen])
     y = np.array([r["y"] == 1 for r in seen], float)
     model.slope = tuple(fit_logistic(x, y).tolist())
@@ -345,7 +347,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score below threshold."""
+    """The rows of docs, with all their columns, that score below threshold.
+
+    Null and empty texts have no words and stay unless the model scores that so; null ids
+    and repeated rows are scored like others. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
