@@ -122,7 +122,7 @@ _PACKED_SQL = "key bigint, kind int, nul boolean, ids binary, counts binary, low
 
 
 def _pack(kind: int, keys: np.ndarray, nul: np.ndarray, ids: np.ndarray, paths: np.ndarray, refs: np.ndarray | None = None, spelt: list[bytes] | None = None) -> pa.Table:
-    order = np.lexsort((paths, ids, nul, keys))
+    order = np.lexsort((paths, *(() if refs is None else (refs,)), ids, nul, keys))  # equal refs side by side: they compress
     keys, nul, ids, paths = keys[order], nul[order], ids[order], paths[order]
     rows = []
     for a, b in zip(*(x.tolist() for x in pack_runs(keys, nul))):
@@ -228,7 +228,7 @@ def remove_repeats(
             continue
         mixed = np.sort(np.array([r["mixed"] for r in found.collect()], np.int64).view(np.uint64))  # at most most_mixed
         spelt = stored(_spell_out(texts, mixed, buckets, width, chunk, bits, salt), "spelt")
-    names = ["n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+    names = ["n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256")] + ["kept"] * with_text
     return done.select(F.when(~F.col("nul"), F.col("num")).cast(kind).alias(id_col), *names)
 
 
@@ -237,7 +237,7 @@ def _paths(words: Words, hashes: np.ndarray, starts: np.ndarray, width: int, bit
 
 
 def _judge(texts: DataFrame, bounds: np.ndarray, buckets: int, width: int, chunk: int, with_text: bool, bits: int, salt: int, mixed: np.ndarray, spelt: DataFrame | None) -> DataFrame:
-    """Result rows (num, nul, n_words, ..), and rows with mixed alone for each path that stands for different words."""
+    """Result rows (num, nul, n_words, n_removed, digest, kept), and rows with mixed alone for each path that stands for different words."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (num, nul), raw in chunks(batches, chunk):
@@ -277,8 +277,8 @@ def _judge(texts: DataFrame, bounds: np.ndarray, buckets: int, width: int, chunk
     if spelt is not None:
         packed = packed.unionByName(spelt)
     placed = texts.withColumn("key", bucket_column(F.col("num"), buckets))
-    rows_sql = "key bigint, row int, num bigint, nul boolean, n_words bigint, n_removed bigint, kept_sha256 string, kept string, mixed bigint, piece binary"
-    rows_schema = pa.schema([("key", pa.int64()), ("row", pa.int32()), ("num", pa.int64()), ("nul", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("mixed", pa.int64()), ("piece", pa.binary())])
+    rows_sql = "key bigint, row int, num bigint, nul boolean, n_words bigint, n_removed bigint, digest binary, kept string, mixed bigint, piece binary"
+    rows_schema = pa.schema([("key", pa.int64()), ("row", pa.int32()), ("num", pa.int64()), ("nul", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("digest", pa.binary()), ("kept", pa.string()), ("mixed", pa.int64()), ("piece", pa.binary())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """Result rows of a bucket; pieces for the buckets of the documents that they repeat; paths known as mixed."""
@@ -318,7 +318,7 @@ def _judge(texts: DataFrame, bounds: np.ndarray, buckets: int, width: int, chunk
         stays = np.concatenate(([0], np.cumsum(kept)))
         for i, (a, n) in enumerate(zip(first.tolist(), words.counts.tolist())):
             text_ = bare[sizes[a] : max(sizes[a], sizes[a + n] - 1)]
-            out.append((left.column("key")[0].as_py(), i, int(num[i]), bool(nul[i]), n, n - int(stays[a + n] - stays[a]), hashlib.sha256(text_).hexdigest(), text_.decode() if with_text else None, None, None))
+            out.append((left.column("key")[0].as_py(), i, int(num[i]), bool(nul[i]), n, n - int(stays[a + n] - stays[a]), hashlib.sha256(text_).digest(), text_.decode() if with_text else None, None, None))
         for path in np.unique(_unpack(right, MIXED)[2]).view(np.int64).tolist():
             out.append((0, None, None, None, None, None, None, None, path, None))
         return _table(out, rows_schema)
