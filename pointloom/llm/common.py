@@ -211,3 +211,12 @@ def pack_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
     return first, np.append(first[1:], n)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, as differences: sorted or equal ones compress well."""
+    return np.diff(numbers.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel())

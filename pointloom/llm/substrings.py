@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, bucket_column, buckets_of, chunks, pack_runs, same_words, shuffle_width, stored, window_hashes
+from .common import Words, bucket_column, buckets_of, chunks, from_planes, pack_runs, planes, same_words, shuffle_width, stored, window_hashes
 
 #: Bits of a word in the path code of a suffix, and words in the code.
 BITS, DEPTH = 12, 5
@@ -130,9 +130,9 @@ def _pack(kind: int, keys: np.ndarray, nul: np.ndarray, ids: np.ndarray, paths:
         own = paths[a:b]
         rows.append(
             (
-                int(keys[a]), kind, bool(nul[a]), ids[a:b][first].tobytes(), (end - first).astype("<u4").tobytes(),
+                int(keys[a]), kind, bool(nul[a]), planes(ids[a:b][first]), (end - first).astype("<u4").tobytes(),
                 own.astype("<u4").tobytes(), (own >> np.uint64(32)).astype("<u2").tobytes(),
-                b"" if refs is None else refs[order[a:b]].tobytes(), [] if spelt is None else [spelt[i] for i in order[a:b]],
+                b"" if refs is None else planes(refs[order[a:b]]), [] if spelt is None else [spelt[i] for i in order[a:b]],
             )
         )
     columns = zip(*rows) if rows else [[]] * len(_PACKED)
@@ -144,7 +144,7 @@ def _unpack(table: pa.Table, *kinds: int) -> tuple[np.ndarray, np.ndarray, np.nd
     table = table.filter(pc.is_in(table.column("kind"), pa.array(kinds, pa.int32())))
 
     def joined(name, kind):
-        parts = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        parts = [np.frombuffer(x, kind) if kind != np.int64 else from_planes(x) for x in table.column(name).to_pylist()]
         return np.concatenate(parts) if parts else np.zeros(0, kind)
 
     ids = np.repeat(joined("ids", np.int64), joined("counts", "<u4"))
