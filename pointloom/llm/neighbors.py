@@ -86,8 +86,10 @@ def greedy_search(rows: np.ndarray, lists: np.ndarray, start: int, queries: np.n
             open_[active, node] = False
             new = lists[node]
             fresh = (new >= 0) & (sims[active[:, None], new] == -2)
-            found = np.where(fresh, np.einsum("qkd,qd->qk", rows[new], own[active]), -3.0).astype(np.float32)
             q, k = np.nonzero(fresh)
+            found = np.full(new.shape, -3.0, np.float32)
+            for i in range(0, len(q), 50_000):
+                found[q[i : i + 50_000], k[i : i + 50_000]] = np.einsum("pd,pd->p", rows[new[q[i : i + 50_000], k[i : i + 50_000]]], own[active[q[i : i + 50_000]]])
             sims[active[q], new[q, k]] = found[q, k]
             open_[active[q], new[q, k]] = True
             ids = np.concatenate((front, np.where(fresh, new, -1)), axis=1)
@@ -106,7 +108,7 @@ def build_graph(rows: np.ndarray, degree: int, alpha: float, beam: int, seed: in
 
     Only rows that a search meets are compared; no row meets all others.
     """
-    n = len(rows)
+    n, rows = len(rows), rows.astype(np.float32)
     lists = np.full((n, degree), -1, np.int64)
     if n < 2:
         return lists
@@ -140,8 +142,8 @@ def build_graph(rows: np.ndarray, degree: int, alpha: float, beam: int, seed: in
 def in_range(rows: np.ndarray, lists: np.ndarray, least: float, slack: float, beam: int) -> list[np.ndarray]:
     """For every row the other rows found with a similarity of least or more: greedy search from the medoid, then
     expansion over all nodes in range; nodes down to least - slack are expanded too."""
-    out = []
-    for sims, open_ in greedy_search(rows, lists, medoid(rows), rows, beam):
+    out, near = [], rows.astype(np.float32)
+    for sims, open_ in greedy_search(near, lists, medoid(rows), near, beam):
         at = len(out)
         while True:
             q, node = np.nonzero(open_ & (sims >= least - slack))
@@ -154,7 +156,7 @@ def in_range(rows: np.ndarray, lists: np.ndarray, least: float, slack: float, be
             fresh = np.unique(q[sims[q, new] == -2] * len(rows) + new[sims[q, new] == -2])
             q, new = fresh // len(rows), fresh % len(rows)
             for a in range(0, len(q), 100_000):
-                sims[q[a : a + 100_000], new[a : a + 100_000]] = (rows[new[a : a + 100_000]] * rows[at + q[a : a + 100_000]]).sum(axis=1)
+                sims[q[a : a + 100_000], new[a : a + 100_000]] = np.einsum("pd,pd->p", near[new[a : a + 100_000]], near[at + q[a : a + 100_000]])
             open_[q, new] = True
         for i, row in enumerate(sims):
             found = np.flatnonzero(row >= least - 1e-5)
@@ -323,25 +325,25 @@ def _links(spark, member: DataFrame, least: float, degree: int, alpha: float, be
         at = order[np.minimum(np.searchsorted(ids[order], flat), len(ids) - 1)]
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in near])
         here = ids[at] == flat
-        found = in_range(rows, _both_ways(owner[here], at[here], len(ids)), least, slack, beam)
-        # a link is found from both ends or from one: take both
-        source = np.repeat(np.arange(len(ids)), [len(x) for x in found])
-        target = np.concatenate(found) if found else np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate((source * len(ids) + target, target * len(ids) + source))) if len(source) else np.zeros(0, np.int64)
-        at = np.searchsorted(pairs // len(ids), np.arange(len(ids) + 1))
+        found = in_range(rows, _padded(owner[here], at[here], len(ids)), least, slack, beam)
+        linked = np.zeros((len(ids), len(ids)), bool)
+        for i, others in enumerate(found):
+            linked[i, others] = True
+        linked |= linked.T.copy()  # a link is found from both ends or from one
         label = np.arange(len(ids))
         for i in range(len(ids)):  # spanning links: each node with the least label around it
-            around = pairs[at[i] : at[i + 1]] % len(ids)
+            around = np.flatnonzero(linked[i])
             if len(around):
                 merged = np.unique(label[np.append(around, i)])
-                label[np.isin(label, merged)] = merged[0]
-        some = np.flatnonzero(np.diff(at))
+                if len(merged) > 1:
+                    label[np.isin(label, merged)] = merged[0]
+        some = np.flatnonzero(linked.any(axis=1))
         return pa.table(
             {
                 "node": pa.array(ids[some]),
                 "end": pa.array(ids[label[some]]),
-                "others": pa.array([ids[pairs[at[i] : at[i + 1]] % len(ids)].astype("<i8").tobytes() for i in some], pa.binary()),
-                "weights": pa.array([weight[pairs[at[i] : at[i + 1]] % len(ids)].astype("<i8").tobytes() for i in some], pa.binary()),
+                "others": pa.array([ids[linked[i]].astype("<i8").tobytes() for i in some], pa.binary()),
+                "weights": pa.array([weight[linked[i]].astype("<i8").tobytes() for i in some], pa.binary()),
             }
         )
 
@@ -366,13 +368,11 @@ def _links(spark, member: DataFrame, least: float, degree: int, alpha: float, be
     return stored(keyed.groupBy("key").applyInArrow(merge, "node bigint, n_links bigint, ends array<bigint>"), "links")
 
 
-def _both_ways(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-    """The lists and their reverse edges as rows of targets, padded by -1."""
-    pairs = np.unique(np.concatenate((source * n + target, target * n + source)))
-    owner, other = pairs // n, pairs % n
+def _padded(owner: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """Lists as rows of targets, padded by -1; owner is sorted."""
     sizes = np.bincount(owner, minlength=n)
     out = np.full((n, max(1, int(sizes.max(initial=0)))), -1, np.int64)
-    out[owner, np.arange(len(pairs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = other
+    out[owner, np.arange(len(other)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = other
     return out
 
 
