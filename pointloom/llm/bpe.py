@@ -26,16 +26,15 @@ class MergeReplay:
     All words stand in one array of symbols with links to both neighbours. An inverted
     index maps each token pair's rank to the positions where the pair stands in any word.
     A heap yields the ranks in order; the merge of a rank is replayed at all its positions
-    at once, one position (the leftmost) of a word at a time, since a merge can bring up a
-    pair of a lower rank in the same word, which then comes first. A merge touches only
+    at once, but in a word only up to the first merge that brings up a pair of a lower
+    rank, which then comes first. A merge touches only
     its two neighbours, whose pairs are looked up anew. Index entries that no longer hold
-    are skipped when their rank comes. The work is O(n log n) in the bytes of the words.
+    are skipped when their rank comes. Words of any length take this path.
     """
 
     NONE = np.int32(2**31 - 1)
 
-    def __init__(self, ranks: dict[bytes, int], long_word: int = 256):
-        self.ranks, self.long_word = ranks, long_word
+    def __init__(self, ranks: dict[bytes, int]):
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -58,38 +57,6 @@ class MergeReplay:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        long = {i: self._encode_long(w) for i, w in enumerate(words) if len(w) > self.long_word}
-        if not long:
-            return self._encode_short(words)
-        short = iter(self._encode_short([w for i, w in enumerate(words) if i not in long]))
-        return [long[i] if i in long else next(short) for i in range(len(words))]
-
-    def _encode_long(self, word: bytes) -> bytes:
-        """The same for one long word: its many positions of a rank come from one heap."""
-        n = len(word)
-        symbol = self.single[np.frombuffer(word, np.uint8)].tolist()
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        tokens, get = self.tokens, self.ranks.get
-        heap: list[tuple[int, int]] = []
-
-        def file(i: int) -> None:
-            if i >= 0 and right[i] < n and (rank := get(tokens[symbol[i]] + tokens[symbol[right[i]]])) is not None:
-                heappush(heap, (rank, i))
-
-        for i in range(n):
-            file(i)
-        while heap:
-            rank, i = heappop(heap)
-            if symbol[i] < 0 or (j := right[i]) >= n or get(tokens[symbol[i]] + tokens[symbol[j]]) != rank:
-                continue
-            symbol[i], symbol[j], right[i] = rank, -1, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            file(left[i])
-            file(i)
-        return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
-
-    def _encode_short(self, words: list[bytes]) -> list[bytes]:
         joined = b"".join(words)
         n = len(joined)
         if not n:
@@ -97,8 +64,8 @@ class MergeReplay:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        symbol = self.single[np.frombuffer(joined, np.uint8)]
-        # position n is a stand-in for "no neighbour"
+        symbol = np.append(self.single[np.frombuffer(joined, np.uint8)], self.single[:1])
+        # position n is a stand-in for "no neighbour", also in symbol
         right = np.arange(1, n + 2)
         left = np.arange(-1, n)
         last = ends[lengths > 0] - 1
@@ -132,30 +99,39 @@ class MergeReplay:
             rank = heappop(waiting)
             groups = index.pop(rank)
             spots = groups[0] if len(groups) == 1 else np.unique(np.concatenate(groups))
-            spots = spots[(pair[spots] == rank) & alive[spots]]
+            every = spots = spots[(pair[spots] == rank) & alive[spots]]
             if not len(spots):
                 continue
-            own = word[spots]
+            gone, at = right[spots], np.arange(len(spots))
+            # of pairs that share a symbol every other one, from the left
             lead = np.ones(len(spots), bool)
-            lead[1:] = own[1:] != own[:-1]
-            if not lead.all():
-                index[rank] = [spots[~lead]]
+            lead[1:] = gone[:-1] != spots[1:]
+            odd = (at - np.maximum.accumulate(np.where(lead, at, 0))) % 2 == 1
+            spots, gone = spots[~odd], gone[~odd]
+            before, after, own = left[spots], right[gone], word[spots]
+            # the pairs that each merge brings up, when those to its left are done
+            beside = symbol[before]
+            beside[1:][before[1:] == gone[:-1]] = rank
+            fresh = np.full(len(spots), rank, np.int32)
+            low = (before < n) & (self._ranks(beside, fresh) < rank) | (after < n) & (self._ranks(fresh, symbol[after]) < rank)
+            if low.any():
+                lows = np.cumsum(low) - low
+                first = np.ones(len(spots), bool)
+                first[1:] = own[1:] != own[:-1]
+                go = lows == np.maximum.accumulate(np.where(first, lows, 0))
+                spots, gone, after = spots[go], gone[go], after[go]
+            if len(spots) < len(every):
+                index[rank] = [every]
                 heappush(waiting, rank)
-                spots = spots[lead]
-            gone = right[spots]
-            after = right[gone]
             symbol[spots] = rank
             alive[gone] = False
             right[spots] = after
             left[after] = spots  # writes to the stand-in do no harm
-            before = left[spots]
-            has = after < n
             pair[spots] = self.NONE
-            at, to = spots[has], after[has]
-            pair[at] = self._ranks(symbol[at], symbol[to])
-            back = before[before < n]
-            pair[back] = self._ranks(symbol[back], symbol[right[back]])
-            touched = np.concatenate((back, at))
+            at = spots[after < n]
+            back = left[spots]
+            touched = np.unique(np.concatenate((back[back < n], at)))
+            pair[touched] = self._ranks(symbol[touched], symbol[right[touched]])
             file(touched, pair[touched])
         kept = np.flatnonzero(alive[:n])
         ids = symbol[kept].astype("<u4").tobytes()

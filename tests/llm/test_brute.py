@@ -48,7 +48,9 @@ def test_bpe_equals_tiktoken():
     own, other = Codec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcde  \n\t=-é日😀THE the ing tion 12'sll") for _ in range(rng.randrange(0, 400))) for _ in range(200)]
-    texts += ["a" * 3000, " " * 3000 + "x", "=-" * 900, "", "\n" * 300]
+    texts += ["a" * 3000, " " * 3000 + "x", "=-" * 900, "", "\n" * 300, "a" * 200_001, "abab" * 30_000 + "b", "日本" * 20_000]
+    texts += ["".join(rng.choice("abthein") for _ in range(20_000)), "".join(rng.choice("-=*#_/") for _ in range(20_000))]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for alphabet in ("ab", "=-", "\n ", "éa", "0 ") for _ in range(60)]
     for text, ids in zip(texts, own.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
