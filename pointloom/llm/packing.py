@@ -69,15 +69,15 @@ def full_patterns(lengths: list[int], demand: np.ndarray, size: int) -> list[dic
     return patterns
 
 
-def column_generation(demand: dict[int, int], size: int, rounds: int = 600, gap: float = 1e-3) -> list[tuple[dict[int, int], float]]:
+def column_generation(demand: dict[int, int], size: int, rounds: int = 200, gap: float = 1e-4) -> list[tuple[dict[int, int], float]]:
     """Fractional use of patterns that cover the demand of every length exactly.
 
     The linear program has a row for each length below size that occurs (size - 1 at most,
     however many documents there are). It starts from one pattern
     for each length; the simplex method takes in first full_patterns, then what
     best_pattern finds when it prices columns by the duals. It ends when pricing shows that
-    no column improves, or by Farley's bound that the rest of the way is at most gap of the
-    sequences. rounds bounds the priced columns: the result is valid at any time, and what
+    no column improves, or when the tokens or Farley's bound show that the rest of the way
+    is at most gap of the sequences. rounds bounds the priced columns: the result is valid at any time, and what
     its patterns don't hold is packed too (make_plan).
     """
     lengths = np.array(sorted(n for n, d in demand.items() if d > 0 and 0 < n < size), np.int64)
@@ -94,9 +94,10 @@ def column_generation(demand: dict[int, int], size: int, rounds: int = 600, gap:
     for j, pattern in enumerate(full_patterns(lengths.tolist(), d, size)):
         for n, c in pattern.items():
             ready[at[n], j] = c
+    least = float(lengths @ d) / size
     priced = 0
     for turn in range(3 * m + rounds):
-        if priced >= rounds:
+        if x.sum() <= least * (1 + gap) or priced >= rounds:
             break
         if turn and turn % 400 == 0:  # take away rounding errors
             inverse = np.linalg.inv(matrix)
@@ -168,7 +169,7 @@ class Plan:
         return out
 
 
-def make_plan(demand: dict[int, int], size: int, rounds: int = 600, gap: float = 1e-3) -> Plan:
+def make_plan(demand: dict[int, int], size: int, rounds: int = 200, gap: float = 1e-4) -> Plan:
     """Round the patterns down; what is left over forms one stream, cut where a sequence is full.
 
     Patterns that leave room in a sequence are not used either: what they would hold goes
@@ -247,8 +248,8 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
-    rounds: int = 600,
-    gap: float = 1e-3,
+    rounds: int = 200,
+    gap: float = 1e-4,
 ) -> DataFrame:
     """Pack all documents, each with end_id after it, into sequences of at most size tokens.
 
