@@ -99,3 +99,18 @@ def test_vectors(spark):
     assert got[3] == (3, 3, True) and got[4] == (3, 3, False) and got[5] == (3, 3, False) and got[None] == (3, 3, False)
     assert all(got[i] == (0, i, True) for i in (1, 2, 6, 7, 8, 9, 10))
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_ties(spark):
+    """Similarity, sites and ids right at the limit."""
+    words = [f"w{i}" for i in range(13)]  # 9 shingles; a changed last word leaves 8 of 10, two leave 7 of 11
+    docs = [(5, " ".join(words)), (3, " ".join(words[:12] + ["x"])), (1, " ".join(words[:11] + ["y", "z"]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 1: 1}
+    rows = [(i, f"ten sites\nown {i}" if i < 10 else f"nine sites\nown {i}", f"s{i}") for i in range(19)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: int(i < 10) for i in range(19)}
+    passage = " ".join(words)  # one window of 13 words
+    same = [(2, passage), (2, passage), (1, "a " + passage), (1, passage + " b"), (7, " ".join(words[:12]))]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(same, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (2, 13), (2, 13), (7, 0)]
